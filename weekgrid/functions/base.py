@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode white space as browsers define it; Java's \s alone is ASCII-only.
@@ -21,6 +21,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Like withColumns, but every value is computed exactly once.
+
+    Filters and projections above are otherwise rewritten in terms of the columns below, which
+    copies long expressions once per use. A one-row generator is a border they do not cross.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def strip(value: Column) -> Column:
     return F.regexp_replace(value, f"^{WS}+|{WS}+$", "")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekgrid.functions.base import let
+from weekgrid.functions.base import bind, let
 
 # Geohash alphabet, earth radius, centre pin of unlocated UK rows.
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
@@ -97,6 +97,31 @@ def neighbors(cell: Column) -> Column:
     return F.when(cell.isNotNull(), F.array_distinct(let(F.struct(x.alias("x"), y.alias("y")), around)))
 
 
+def explode_ring(df: DataFrame, source: str, name: str) -> DataFrame:
+    """One row per cell of the ring around `source`, centre included, as the new column `name`.
+
+    The ring is built from the axis numbers and spelt out afterwards, all in generated code.
+    """
+    x, y = _cell_axes(F.col(source))
+    df = bind(df, _x=x, _y=y)
+    codes = [
+        F.when(
+            (F.col("_y") + dy).between(0, AXIS - 1),
+            F.pmod(F.col("_x") + dx, F.lit(AXIS)) * AXIS + F.col("_y") + dy,
+        )
+        for dy, dx in RING
+    ]
+    df = df.withColumn("_code", F.explode(F.array(*codes))).where(F.col("_code").isNotNull())
+    cell = _letters(F.shiftright("_code", 10), F.col("_code").bitwiseAND(F.lit(AXIS - 1)))
+    return df.withColumn(name, cell).drop("_x", "_y", "_code")
+
+
+def is_adjacent(left: Column, right: Column) -> Column:
+    """Both cells are the same or touch."""
+    (x1, y1), (x2, y2) = _cell_axes(left), _cell_axes(right)
+    return (F.pmod(x1 - x2 + 1, F.lit(AXIS)) <= 2) & (F.abs(y1 - y2) <= 1)
+
+
 def valid_pin(lat: Column, lng: Column) -> Column:
     finite = ~F.isnan(lat) & ~F.isnan(lng)
     return F.coalesce(finite & lat.between(-90, 90) & lng.between(-180, 180), F.lit(False))

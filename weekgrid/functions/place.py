@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekgrid.functions.base import blank_null, extract, first_filled, fixed3, let, lookup, squeeze, strip
+from weekgrid.functions.base import bind, blank_null, extract, first_filled, fixed3, let, lookup, squeeze, strip
 from weekgrid.functions.text import clean_part, collapse_address, same_name, slugify
 
 # Country aliases after upper-casing and dropping dots.
@@ -361,12 +361,13 @@ def normalize_place(df: DataFrame) -> DataFrame:
             "neighborhood": F.when(~same_name(city, hood), hood),
         }
     )
-    return df.withColumns(
-        {
-            "state": F.when(is_plausible_state(state), normalize_state(state)),
-            "city": F.when(_usable_city(city), city),
-            "neighborhood": F.when(is_usable_neighborhood(hood), hood),
-        }
+    return bind(
+        df,
+        city=F.when(_usable_city(city), city),
+        neighborhood=F.when(is_usable_neighborhood(hood), hood),
+        state=F.when(is_plausible_state(state), normalize_state(state)),
+        postal_code=c("postal_code"),
+        country=c("country"),
     )
 
 

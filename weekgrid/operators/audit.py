@@ -76,7 +76,9 @@ def feeds_behind(feeds: DataFrame, now: datetime) -> DataFrame:
     return feeds.agg(F.count_if((c("status") != "disabled") & ~fresh_stamp).alias("feeds_behind"))
 
 
-def mapping_anomalies(listings: DataFrame, feeds: DataFrame, now: datetime, limit: int = TOP_ANOMALIES) -> DataFrame:
+def mapping_anomalies(
+    listings: DataFrame, feeds: DataFrame, now: datetime, limit: int = TOP_ANOMALIES, span: float = SPAN_DEGREES
+) -> DataFrame:
     """Cities whose dominant cluster spans too many degrees, largest first."""
     rows = listings.where(
         (c("attendance") != "online") & c("city").isNotNull() & c("lat").isNotNull() & c("lng").isNotNull()
@@ -92,7 +94,7 @@ def mapping_anomalies(listings: DataFrame, feeds: DataFrame, now: datetime, limi
         )
     )
     best = first_by(stats, CITY, c("listings").desc(), c("cluster").asc_nulls_last())
-    wide = (c("latitude_span") > SPAN_DEGREES) | (c("longitude_span") > SPAN_DEGREES)
+    wide = (c("latitude_span") > span) | (c("longitude_span") > span)
     return (
         best.where(c("cluster").isNotNull() & c("scope").isNotNull() & wide)
         .orderBy(c("listings").desc(), "city", "state", "country", "scope")

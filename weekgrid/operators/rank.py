@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weekgrid.functions.base import bind
 from weekgrid.functions.clock import (
     DAY_MINUTES,
     at,
@@ -115,15 +116,14 @@ def with_schedule(
 ) -> DataFrame:
     """Days and minutes until the next start on each listing's own wall clock."""
     zone = listing_zone(c("timezone"), c("lat"), c("lng"), c("country"), c("state"), origin)
-    rows = rows.withColumn("zone", F.coalesce(zone, F.lit(default_zone)))
-    rows = rows.withColumn("_wall", F.from_utc_timestamp(at(now), c("zone")))
-    rows = rows.withColumns(
-        {
-            "_start": minutes_of(c("time")),
-            "_end": end_minutes(c("time"), c("end_time")),
-            "_minute": F.hour("_wall") * 60 + F.minute("_wall"),
-            "_days": F.pmod(c("day") - F.dayofweek("_wall") + 8, F.lit(7)),
-        }
+    rows = bind(rows, zone=F.coalesce(zone, F.lit(default_zone)))
+    wall = F.from_utc_timestamp(at(now), c("zone"))
+    rows = bind(
+        rows,
+        _start=minutes_of(c("time")),
+        _end=end_minutes(c("time"), c("end_time")),
+        _minute=F.hour(wall) * 60 + F.minute(wall),
+        _days=F.pmod(c("day") - F.dayofweek(wall) + 8, F.lit(7)),
     )
     rows = rows.withColumn("_days", F.when(c("_start").isNotNull(), c("_days")))
     rows = rows.withColumn("_ahead", c("_start") - c("_minute") + c("_days") * DAY_MINUTES)
@@ -135,7 +135,7 @@ def with_schedule(
             "minutes_until_start": c("_ahead") + c("_weeks") * (7 * DAY_MINUTES),
             "days_until": c("_days") + c("_weeks") * 7,
         }
-    ).drop("_wall", "_start", "_end", "_minute", "_days", "_ahead", "_weeks")
+    ).drop("_start", "_end", "_minute", "_days", "_ahead", "_weeks")
 
 
 def group_of(filters: Filters, local_day: int) -> Column:

@@ -1,6 +1,6 @@
 """Derived views and the registered queries with their SQL."""
 
-from weekgrid.plans import serving  # noqa: F401
+from weekgrid.plans import quality, serving  # noqa: F401
 from weekgrid.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -11,7 +11,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from weekgrid.functions.base import bind
 from weekgrid.functions.geo import geohash4
 
 NOW = datetime(2001, 11, 5, 0, 0)
@@ -110,8 +112,21 @@ LISTING_JOINS = (
 ABSENT = {"group_name": "string", "conference_phone": "string"}
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is read from the files once per process."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share out a table that has fewer files than there are cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
 
 
 def _select(columns: dict[str, str], source: str) -> str:
@@ -146,12 +161,13 @@ def listings(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     need = {prefix for _, _, prefix in LISTING_JOINS if re.search(rf"\b{prefix}", text)}
     need |= {"c_"} if "n_" in need else set()
     need |= {"o_"} if "c_" in need else set()
-    rows = table(spark, sf, "lineitem")
+    rows = spread(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
     for name, on, prefix in LISTING_JOINS:
         if prefix in need:
             rows = rows.join(table(spark, sf, name), F.expr(on))
     rows = rows.selectExpr(*[f"{LISTING_COLUMNS[n]} as {n}" for n in base])
     if "geohash4" in wanted:
+        rows = bind(rows, lat=F.col("lat"), lng=F.col("lng"))
         rows = rows.withColumn("geohash4", geohash4(F.col("lat"), F.col("lng")))
     if "types" in wanted:
         rows = rows.withColumn("types", F.split("types_text", ","))
