@@ -256,7 +256,7 @@ def catalog_merge(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_STORED = "replace(rtrim(url, '/'), 'www.', '')"
+_STORED = "replace(rtrim(f.url, '/'), 'www.', '')"
 
 
 @query(
