@@ -45,6 +45,11 @@ def blank_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+def blank_null_once(value: Column) -> Column:
+    """blank_null for use inside lambdas, where a plain nullif would evaluate its input twice."""
+    return let(value, lambda v: F.when(v != "", v))
+
+
 def filled(value: Column) -> Column:
     """True where the text is neither null nor empty."""
     return F.coalesce(value != "", F.lit(False))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekgrid.functions.base import bind, blank_null, extract, first_filled, fixed3, let, lookup, squeeze, strip
+from weekgrid.functions.base import bind, blank_null, blank_null_once, extract, first_filled, fixed3, let, lookup, squeeze, strip
 from weekgrid.functions.text import clean_part, collapse_address, same_name, slugify
 
 # Country aliases after upper-casing and dropping dots.
@@ -211,35 +211,46 @@ def formatted_place(address: Column, country: Column) -> Column:
         found = _postal_parts(part)
         return F.when(found["state"].isNull(), found["postal"])
 
-    def read(at: Column) -> Column:
-        parts = at["parts"]
-        places = F.filter(parts, lambda p: plain_postal(p).isNull())
-        city_at = F.coalesce(
-            F.array_position(F.transform(places, is_municipality), True), F.lit(0)
-        ).cast("int")
-        before = F.reverse(F.slice(places, F.lit(1), F.greatest(city_at - 1, F.lit(0))))
+    def split_postal(b: Column) -> Column:
+        places = F.filter(b["parts"], lambda p: plain_postal(p).isNull())
+        return F.struct(*_fields(b, "address", "country", "parts"), places.alias("places"))
+
+    def find_city(b: Column) -> Column:
+        at = F.array_position(F.transform(b["places"], is_municipality), True).cast("int")
+        return F.struct(*_fields(b, "address", "country", "parts", "places"), at.alias("city_at"))
 
+    def find_neighbor(b: Column) -> Column:
         def decisive(part: Column) -> Column:
-            named_country = F.lower(part).isin(*ADDRESS_COUNTRIES) | _true(F.lower(part) == at["country"])
+            named_country = F.lower(part).isin(*ADDRESS_COUNTRIES) | _true(F.lower(part) == b["country"])
             return part.rlike(STREET) | ~(named_country | part.rlike(f"{POSTAL}|{STATE[4:]}"))
 
+        before = F.reverse(F.slice(b["places"], F.lit(1), F.greatest(b["city_at"] - 1, F.lit(0))))
         nearest = F.get(F.filter(before, decisive), F.lit(0))
+        return F.struct(*_fields(b, "address", "parts", "places", "city_at"), nearest.alias("nearest"))
+
+    def result(b: Column) -> Column:
+        usable = ~b["nearest"].rlike(STREET) & is_usable_neighborhood(b["nearest"])
         return F.struct(
-            at["address"].alias("formatted_address"),
-            F.when(city_at > 0, canonical_city(F.get(places, city_at - 1))).alias("city"),
-            F.when(
-                ~nearest.rlike(STREET) & is_usable_neighborhood(nearest), clean_neighborhood(nearest)
-            ).alias("neighborhood"),
-            first_filled(F.transform(parts, plain_postal)).alias("postal_code"),
+            b["address"].alias("formatted_address"),
+            F.when(b["city_at"] > 0, canonical_city(F.get(b["places"], b["city_at"] - 1))).alias("city"),
+            F.when(usable, clean_neighborhood(b["nearest"])).alias("neighborhood"),
+            first_filled(F.transform(b["parts"], plain_postal)).alias("postal_code"),
         )
 
-    address = collapse_address(address)
+    def parts_of(b: Column) -> Column:
+        parts = F.coalesce(_parts(b["address"]), F.array().cast("array<string>"))
+        return F.struct(*_fields(b, "address", "country"), parts.alias("parts"))
+
     bound = F.struct(
-        address.alias("address"),
-        F.coalesce(_parts(address), F.array().cast("array<string>")).alias("parts"),
-        blank_null(F.lower(strip(country))).alias("country"),
+        collapse_address(address).alias("address"), blank_null(F.lower(strip(country))).alias("country")
     )
-    return let(bound, read)
+    for step in (parts_of, split_postal, find_city, find_neighbor, result):
+        bound = let(bound, step)
+    return bound
+
+
+def _fields(row: Column, *names: str) -> list[Column]:
+    return [row[n].alias(n) for n in names]
 
 
 def city_from_address(address: Column, country: Column) -> Column:
@@ -457,28 +468,30 @@ def city_caption(label: Column, parent: Column, state: Column, country: Column)
 
 def format_uk_postcode(value: Column) -> Column:
     compact = F.regexp_replace(F.upper(value), r"\s+", "")
-    return blank_null(
-        F.when(
-            compact.rlike(r"^[A-Z]{1,2}\d[A-Z\d]?\d[A-Z]{2}$"),
-            F.regexp_replace(compact, r"^(.*)(.{3})$", "$1 $2"),
-        )
+    return F.when(
+        compact.rlike(r"^[A-Z]{1,2}\d[A-Z\d]?\d[A-Z]{2}$"),
+        F.regexp_replace(compact, r"^(.*)(.{3})$", "$1 $2"),
     )
 
 
 def uk_postcode_in(value: Column) -> Column:
-    return format_uk_postcode(extract(value, UK_POSTCODE))
+    return format_uk_postcode(F.regexp_extract(value, UK_POSTCODE, 1))
 
 
 def format_uk_city(value: Column) -> Column:
     """Drop a trailing GB; all-capitals names become title case; country names become empty."""
-    city = squeeze(F.regexp_replace(value, r"(?i),\s*GB$", ""))
-    titled = F.initcap(F.lower(F.regexp_replace(city, r"([^A-Za-z0-9_ ])", "$1\u0001 ")))
-    titled = F.replace(titled, F.lit("\u0001 "), F.lit(""))
-    return (
-        F.when(city.rlike("(?i)^(gb|uk|united kingdom)$"), F.lit(""))
-        .when(city != F.upper(city), city)
-        .otherwise(titled)
-    )
+
+    def spell(city: Column) -> Column:
+        # Title case starts a word after any sign, so signs are set apart while it is applied.
+        apart = F.regexp_replace(F.lower(city), r"([^A-Za-z0-9_ ])", "$1\u0001 ")
+        titled = F.replace(F.initcap(apart), F.lit("\u0001 "), F.lit(""))
+        return (
+            F.when(city.rlike("(?i)^(gb|uk|united kingdom)$"), F.lit(""))
+            .when(city != F.upper(city), city)
+            .otherwise(titled)
+        )
+
+    return let(squeeze(F.regexp_replace(value, r"(?i),\s*GB$", "")), spell)
 
 
 def is_uk_street(value: Column) -> Column:
@@ -499,7 +512,9 @@ def uk_city_and_postcode(address: Column) -> Column:
         )
         undotted = F.transform(F.reverse(parts), lambda p: F.regexp_replace(p, r"[.\s]+$", ""))
         town = F.get(F.filter(undotted, lambda p: (p != "") & ~is_uk_street(p)), F.lit(0))
-        return F.struct(blank_null(format_uk_city(town)).alias("city"), at["code"].alias("postal_code"))
+        return F.struct(
+            blank_null_once(format_uk_city(town)).alias("city"), at["code"].alias("postal_code")
+        )
 
     bound = F.struct(F.coalesce(address, F.lit("")).alias("address"), uk_postcode_in(address).alias("code"))
     return let(bound, read)

@@ -212,11 +212,11 @@ def allocate_ids(rows: DataFrame, taken: DataFrame) -> DataFrame:
     losers = losers.join(highest, "_host", "left").withColumn(
         "_no", F.coalesce(c("_top"), F.lit(0)) + c("_seq")
     )
-    numbered = F.when(c("_no") == 1, c("_host")).otherwise(F.concat_ws("-", "_host", c("_no").cast("string")))
+    own_number = F.when(c("_no") == 1, c("_host")).otherwise(F.concat_ws("-", "_host", c("_no").cast("string")))
     keep = [n for n in rows.columns if n not in ("_want", "_nth", "_used", "_host")]
     return (
         rows.where(first).select(*keep, c("_want").alias("feed_id"))
-        .unionByName(losers.select(*keep, numbered.alias("feed_id")))
+        .unionByName(losers.select(*keep, own_number.alias("feed_id")))
     )
 
 

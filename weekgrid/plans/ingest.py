@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekgrid.functions import clock, html, notes, place, urls
+from weekgrid.functions.base import bind
 from weekgrid.functions.labels import as_feed_format, as_fellowship
 from weekgrid.operators import clean, dedupe, feeds as feed_ops, predicates, sinks
 from weekgrid.plans.registry import query
@@ -75,7 +76,11 @@ oiaa as (select feed_id, price, slug, name, case when {_MIN} >= 300 then 1 else
   {_CLOCK.format(_MIN + " + 1200")} as end_time, 'online' as attendance, cast(null as varchar) as city, cast(null as varchar) as country,
   {_TYPED.format("case when list_contains(types, 'ONL') then list_append(types, 'SP') else list_concat(types, ['SP', 'ONL']) end")} as typed,
   cast(null as double) as lat, notes from lines where line % 3 = 2 and conference_url is not null and time is not null),
-parsed as (select * from tsml union all select * from bmlt union all select * from oiaa)
+odd as (select feed_id, price, {slug_sql("name")} as slug, name, cast(null as int) as day, cast(null as varchar) as time, cast(null as varchar) as end_time,
+  case when conference_url is null then 'in-person' else 'online' end as attendance, cast(null as varchar) as city, cast(null as varchar) as country,
+  {_TYPED.format("case when conference_url is null then cast([] as varchar[]) else ['ONL'] end")} as typed, cast(null as double) as lat, notes
+  from lines where line % 3 = 2 and time is null),
+parsed as (select * from tsml union all select * from bmlt union all select * from oiaa union all select * from odd)
 """
 )
 
@@ -500,7 +505,7 @@ _RAW_PLACE = {
   case when l_partkey % 4 = 0 then 'Docks' end as hood, case when l_suppkey % 2 = 0 then '90210' end as postal,
   case l_partkey % 3 when 0 then 'US' when 1 then 'GB' else 'NZ' end as country from lineitem)
 select l_orderkey, l_linenumber, price, country,
-  case l_linenumber when 1 then 'London' when 2 then 'Kent' when 3 then 'New York' when 4 then 'Fresno' when 5 then 'London' else plain end as city,
+  case l_linenumber when 1 then 'London' when 2 then 'Kent' when 3 then 'New York' when 4 then 'Fresno' when 5 then 'london' else plain end as city,
   case l_linenumber when 1 then coalesce(hood, 'North London') when 5 then coalesce(hood, plain) when 6 then coalesce(hood, 'Shore Area') else hood end as neighborhood,
   case l_linenumber when 1 then 'NY' when 2 then null when 3 then 'NY' when 4 then 'CA' when 5 then null when 6 then null else 'NY' end as state,
   case l_linenumber when 2 then coalesce(postal, 'SW' || (l_suppkey % 9 + 1) || ' 1AA') else postal end as postal_code from raw"""
@@ -523,7 +528,8 @@ def address_places(spark: SparkSession, sf: str) -> DataFrame:
     )
     gb = F.lit("GB")
     second = F.concat_ws(", ", F.lit("7 Mill Road"), F.lit("Camden "), F.lit("UK"), F.lit("Greater  London"), "postal_code")
-    whole = place.formatted_place(second, gb)
+    rows = bind(rows, _whole=place.formatted_place(second, gb))
+    whole = c("_whole")
     return rows.select(
         "feed_id", "slug", "price", place.city_from_address(c("formatted_address"), gb).alias("city"),
         place.formatted_place(c("formatted_address"), gb)["city"].alias("known_city"),
