@@ -27,7 +27,7 @@ def test_fold_is_compatibility_decomposition_without_marks(spark):
     assert got == [folded(s) for s in SAMPLES]
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(st.characters(exclude_categories=("Cs", "Cc"), max_codepoint=0x1FFFF), max_size=12), min_size=1, max_size=60))
 def test_fold_property(spark, values):
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(values)], "i int, s string")
@@ -50,16 +50,15 @@ def test_geohash_and_ring(one):
     assert set(one(geo.neighbors(c("g")), g="zzzz")) == {"zzzz", "bpbp", "bpbn", "zzzy", "zzzw", "zzzx"}
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.floats(-89, 89), st.floats(-180, 180)), min_size=1, max_size=40))
 def test_ring_is_symmetric_and_explodes_alike(spark, points):
     rows = spark.createDataFrame(points, "lat double, lng double").select(geo.geohash4(c("lat"), c("lng")).alias("g"))
-    for r in rows.select("g", geo.neighbors(c("g")).alias("n")).collect():
-        back = spark.createDataFrame([(n,) for n in r.n], "g string").select(geo.neighbors(c("g")).alias("n")).collect()
-        assert all(r.g in b.n for b in back)
+    near = rows.select("g", F.explode(geo.neighbors(c("g"))).alias("n"))
+    assert near.where(~F.array_contains(geo.neighbors(c("n")), c("g"))).count() == 0
     flat = geo.explode_ring(rows.distinct(), "g", "cell")
     arrays = rows.distinct().select("g", F.explode(geo.neighbors(c("g"))).alias("cell"))
-    assert flat.exceptAll(arrays).count() == 0 and arrays.exceptAll(flat).count() == 0
+    assert sorted(map(tuple, flat.select("g", "cell").collect())) == sorted(map(tuple, arrays.collect()))
     assert flat.where(~geo.is_adjacent(c("g"), c("cell"))).count() == 0
 
 
