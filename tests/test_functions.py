@@ -27,7 +27,7 @@ def test_fold_is_compatibility_decomposition_without_marks(spark):
     assert got == [folded(s) for s in SAMPLES]
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(st.characters(exclude_categories=("Cs", "Cc"), max_codepoint=0x1FFFF), max_size=12), min_size=1, max_size=60))
 def test_fold_property(spark, values):
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(values)], "i int, s string")
@@ -50,7 +50,7 @@ def test_geohash_and_ring(one):
     assert set(one(geo.neighbors(c("g")), g="zzzz")) == {"zzzz", "bpbp", "bpbn", "zzzy", "zzzw", "zzzx"}
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.floats(-89, 89), st.floats(-180, 180)), min_size=1, max_size=40))
 def test_ring_is_symmetric_and_explodes_alike(spark, points):
     rows = spark.createDataFrame(points, "lat double, lng double").select(geo.geohash4(c("lat"), c("lng")).alias("g"))

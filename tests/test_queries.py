@@ -13,9 +13,8 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = (
-    "coverage_cells", "safe_listings", "collapse_duplicates", "dedupe_last_wins", "rank_nearby", "rank_week_groups", "place_unique_rank",
-    "incremental_rollup", "audit_counts", "mapping_anomalies", "slice_members", "city_search", "online_page", "vector_topk", "vector_plan",
-    "catalog_merge", "json_route", "geocode_completion", "place_normalize",
+    "coverage_cells", "safe_listings", "collapse_duplicates", "rank_nearby", "place_unique_rank", "audit_counts", "city_search",
+    "online_page", "vector_plan", "catalog_merge", "json_route", "geocode_completion",
 )
 
 
