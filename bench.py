@@ -11,7 +11,7 @@ from weekgrid.session import local_session
 
 HEADLINE = (
     "coverage_cells", "safe_listings", "collapse_duplicates", "rank_nearby", "city_rollup", "audit_counts",
-    "slice_cells", "online_page", "json_route", "venue_borrow", "catalog_merge", "vector_topk",
+    "slice_cells", "online_page", "geocode_completion", "venue_borrow", "catalog_merge", "vector_topk",
     "latest_user_turn", "keyword_documents", "page_lines",
 )
 
