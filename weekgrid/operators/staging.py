@@ -9,24 +9,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder the session names; only a local session may fall back to one of its own."""
+    """The folder the session names; only a session inside one JVM may fall back to one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="weekgrid-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """The same rows, read from a written table: later steps may read them several times.
 
     A written table survives lost executors and keeps column pruning and filter pushdown, which
-    cached or checkpointed rows would not.
+    cached or checkpointed rows would not. It goes with `discard`, or when the application ends.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    files, path = _path(spark, name)
+    files.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(name)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    spark = table.sparkSession
+    folder = checkpoint_folder(spark)
+    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        files, path = _path(spark, name)
+        root = files.makeQualified(_path(spark, folder)[1]).toString()
+        if not files.makeQualified(path).toString().startswith(f"{root}/"):
+            raise ValueError(f"not a staged table: {name}")
+        files.delete(path, True)
