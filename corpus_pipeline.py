@@ -8,20 +8,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weekgrid.llm import bpe, language_id, toxicity
 from weekgrid.llm.jaccard_join import one_per_group
 from weekgrid.llm.shared import table
 from weekgrid.operators.staging import staged
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification accepts; those it rejects (no letter, or below its limit) go."""
+    return language_id.only_accepted(docs, F.col("doc_id").isNotNull())
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from all labelled ones, does not reject."""
+    return toxicity.only_clean(docs, table(spark, sf_dir, "labels"), F.col("doc_id").isNotNull())
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that n-gram similarity links, the one with the smallest doc_id stays."""
     return one_per_group(docs)
 
 
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids, and the digest of what they decode to."""
+    file = public_tokenizers.path("word_bpe_49k.json")
+    both = bpe.decode(bpe.encode(docs, file), file)
+    return both.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("jaccard_join", drop_near_copies)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", known_language),
+    ("toxicity", not_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("bpe", to_tokens),
+]
 
 #: Trained models have no SQL; the stages are tested one by one.
 ORACLE_SQL: str | None = None

@@ -4,18 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekgrid.llm import jaccard_join, sql
-from weekgrid.llm.shared import held_out, table
+from weekgrid.llm import bpe, jaccard_join, language_id, lm_scoring, quality_crf, sql, topk_search, toxicity, url_filter
+from weekgrid.llm.shared import held_out, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+KEY = F.col("doc_id")
+TOKENIZER = "word_bpe_49k.json"
+RULES: list[url_filter.Rule] = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    hits = topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.toxicity(docs, labels, remainder(KEY, 5) != 0)
+    return scored.select("doc_id", held_out(KEY, 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = spark.createDataFrame(url_filter.EXAMPLES, "url string, block int")
+    judged = url_filter.url_verdicts(table(spark, sf_dir, "pages"), RULES, labelled)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality_crf.quality(docs, labels, remainder(KEY, 3) != 1)
+    return scored.select("doc_id", held_out(KEY, 3, 1).alias("held_out"), "score", "predicted")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = language_id.identify(table(spark, sf_dir, "documents"), remainder(KEY, 4) != 2)
+    return named.select("doc_id", held_out(KEY, 4, 2).alias("held_out"), "lang_pred", "score", "accepted")
+
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_jaccard_join,)}
-ORACLES: dict[str, str] = {"op6_jaccard_join": sql.JACCARD_JOIN}
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.lm_scores(table(spark, sf_dir, "documents"), remainder(KEY, 7) != 2)
+    return scored.select("doc_id", held_out(KEY, 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = public_tokenizers.path(TOKENIZER)
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), file), file)
+    digest = lambda column: F.sha2(F.col(column).cast("binary"), 256)
+    return both.select("doc_id", "n_tokens", digest("ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_topk_search, op2_toxicity, op3_url_filter, op4_quality_crf, op5_language_id, op6_jaccard_join, op8_lm_scoring, op9_bpe,
+    )
+}
+ORACLES: dict[str, str] = {"op1_topk_search": sql.TOPK_SEARCH, "op6_jaccard_join": sql.JACCARD_JOIN}

@@ -16,12 +16,12 @@ shingles as (
 ),
 sizes as (select doc_id, count(*) as n from shingles group by doc_id),
 shared as (
-    select a.doc_id as a, b.doc_id as b, count(*) as both
+    select a.doc_id as a, b.doc_id as b, count(*) as common
     from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id
 ),
 links as (
     select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
-    where 100 * both >= 80 * (x.n + y.n - both)
+    where 100 * common >= 80 * (x.n + y.n - common)
 ),
 reach as (
     select a, b from links
@@ -32,3 +32,25 @@ lows as (select a, min(b) as low from reach group by a)
 select d.doc_id, coalesce(sizes.n, 0) as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id
 from documents d left join sizes on sizes.doc_id = d.doc_id left join lows on lows.a = d.doc_id
 """
+
+TOPK_SEARCH = """
+with whole as (
+    select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+),
+scores as (
+    select q.vec_id as query_id, c.vec_id,
+           max(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))) as score
+    from whole q join whole c on len(c.v) = len(q.v) and c.vec_id <> q.vec_id
+    where q.vec_id % 50 = 0
+    group by q.vec_id, c.vec_id
+),
+ranked as (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id,
+           cast(coalesce(score, 0) as bigint) as score
+    from scores
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""

@@ -12,6 +12,7 @@ import numpy as np
 
 _RANDOM = np.random.default_rng(20240229)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -25,6 +26,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _VALUE, _INSIDE = _tables()
+#: Bytes of words that are runs of letters, digits and anything beyond ASCII.
+LETTERS = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -51,24 +54,30 @@ def chunks(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int
         yield start, run
 
 
-def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in their order, and where each text's words begin (one more at the end)."""
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+def word_hashes(raw: list[bytes], member: np.ndarray = _INSIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in their order, and where each text's words begin (one more at the end).
+
+    `member` says which bytes words are made of; the line break never is one.
+    """
     joined = b"\n".join(raw) + b"\n"
     data = np.frombuffer(joined, np.uint8)
-    inside = _INSIDE[data]
+    inside = member[data]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[::2], edge[1::2]
-    powers = np.full(len(data), _BASE)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
     terms = _VALUE[data]
-    terms *= powers
+    terms *= _powers(_BASE, len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(terms, out=total[1:])
-    # Each word's sum starts at a power of its own; bring all to the same one.
-    hashes = (total[ends] - total[starts]) * powers[len(data) - 1 - starts]
+    # Each word's sum starts at the power of its place; divide by it.
+    hashes = (total[ends] - total[starts]) * _powers(_INVERSE, len(data))[starts]
     begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
     return mix(hashes), np.searchsorted(starts, begins)
 
