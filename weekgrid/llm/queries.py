@@ -13,7 +13,7 @@ from weekgrid.llm.shared import held_out, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-KEY = F.col("doc_id")
+KEY = "doc_id"
 TOKENIZER = "word_bpe_49k.json"
 RULES: list[url_filter.Rule] = [
     ("block", "net", "/"),

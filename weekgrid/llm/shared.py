@@ -10,12 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def remainder(key: Column, modulus: int) -> Column:
-    """crc32 of the key as text, modulo; null for a null key."""
-    return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
+def remainder(key: str, modulus: int) -> Column:
+    """crc32 of the column `key` as text, modulo; null for a null key."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def held_out(key: Column, modulus: int, rest: int) -> Column:
+def held_out(key: str, modulus: int, rest: int) -> Column:
     """Rows to be tested on. A row without a key is neither learned from nor held out."""
     return F.coalesce(remainder(key, modulus) == rest, F.lit(False))
 
