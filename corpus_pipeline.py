@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekgrid.llm import bpe, language_id, toxicity
+from weekgrid.llm import bpe, language_id, mixing, toxicity
 from weekgrid.llm.jaccard_join import one_per_group
 from weekgrid.llm.shared import table
 from weekgrid.operators.staging import staged
@@ -33,6 +33,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return one_per_group(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, those of small sources again, no source more than twice."""
+    return mixing.mix(docs, repetition=2.0).select(docs.columns)
+
+
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, and the digest of what they decode to."""
     file = public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +50,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("language_id", known_language),
     ("toxicity", not_toxic),
     ("jaccard_join", drop_near_copies),
+    ("mixing", mix_sources),
     ("bpe", to_tokens),
 ]
 

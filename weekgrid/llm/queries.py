@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekgrid.llm import bpe, jaccard_join, language_id, lm_scoring, quality_crf, sql, topk_search, toxicity, url_filter
+from weekgrid.llm import bpe, jaccard_join, language_id, lm_scoring, mixing, quality_crf, quality_rules, sql, topk_search, toxicity, url_filter
 from weekgrid.llm.shared import held_out, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scoring.lm_scores(table(spark, sf_dir, "documents"), remainder(KEY, 7) != 2)
     return scored.select("doc_id", held_out(KEY, 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -68,10 +72,24 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", digest("ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row as often as the mixture takes it, no source more than twice; weights to six places."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), repetition=2.0)
+    part = lambda name: F.col(f"_mix.{name}").alias(name)
+    rounded = lambda name: F.round(F.col(f"_mix.{name}"), 6).alias(name)
+    return mixed.select("doc_id", "source", part("epoch"), part("block"), part("place"), *map(rounded, ("weight", "repetition", "alpha")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_topk_search, op2_toxicity, op3_url_filter, op4_quality_crf, op5_language_id, op6_jaccard_join, op8_lm_scoring, op9_bpe,
+        op1_topk_search, op2_toxicity, op3_url_filter, op4_quality_crf, op5_language_id, op6_jaccard_join, op7_quality_rules,
+        op8_lm_scoring, op9_bpe, op10_mixing,
     )
 }
-ORACLES: dict[str, str] = {"op1_topk_search": sql.TOPK_SEARCH, "op6_jaccard_join": sql.JACCARD_JOIN}
+ORACLES: dict[str, str] = {
+    "op1_topk_search": sql.TOPK_SEARCH,
+    "op6_jaccard_join": sql.JACCARD_JOIN,
+    "op7_quality_rules": sql.QUALITY_RULES,
+    "op10_mixing": sql.MIXING,
+}

@@ -54,3 +54,76 @@ ranked as (
 )
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
+
+QUALITY_RULES = rf"""
+with base as (
+    select row_number() over () as r, doc_id, coalesce('=' || source, '') as host, coalesce(text, '') as text,
+           regexp_extract_all(coalesce(text, ''), '{_WORD}') as w
+    from documents
+),
+windows as (select r, i, array_to_string(w[i:i + 4], ' ') as s from base, unnest(range(1, len(w) - 3)) t(i)),
+twins as (select r, i from (select r, i, count(*) over (partition by r, s) as c from windows) where c >= 2),
+repeated as (select r, count(distinct p) as n from (select r, unnest([i, i + 1, i + 2, i + 3, i + 4]) as p from twins) group by r),
+split as (select r, host, text, unnest(string_split(text, chr(10))) as raw from base),
+lines as (
+    select r, host, text, raw, regexp_extract_all(translate(raw, '{_UPPER}', '{_LOWER}'), '{_WORD}') as parts from split
+    where regexp_matches(raw, '{_WORD}')
+),
+normal as (select *, regexp_replace(array_to_string(parts, ' '), '[0-9]+', '0', 'g') as line from lines),
+common as (select host, line from normal group by host, line having count(distinct text) > 50),
+per_text as (
+    select n.r, count(*) - count(distinct n.raw) as n_dup_lines,
+           sum(case when c.line is not null then len(n.parts) else 0 end) as removed
+    from normal n left join common c on c.host = n.host and c.line = n.line group by n.r
+),
+counts as (
+    select b.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+           cast(len(regexp_extract_all(b.text, '[#*$%&|<>]')) as bigint) as n_symbols,
+           coalesce(p.n_dup_lines, 0) as n_dup_lines, coalesce(d.n, 0) as n_repeat_words,
+           cast(coalesce(p.removed, 0) as bigint) as removed_words
+    from base b left join per_text p on p.r = b.r left join repeated d on d.r = b.r
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 100 * removed_words <= 50 * n_words as kept,
+       removed_words
+from counts
+"""
+
+_DIGEST = "cast('0x' || substr(md5({}), 1, 8) as bigint)"
+
+MIXING = rf"""
+with docs as (
+    select doc_id, source, coalesce('=' || source, '') as k, {_DIGEST.format("'0:' || coalesce(cast(doc_id as varchar), '')")} % 64 as block,
+           len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as tokens
+    from documents
+),
+blocks as (select k, block, sum(tokens) as tokens from docs group by k, block),
+sources as (select k, sum(tokens) as t from blocks group by k),
+shares as (select k, t, t / (select sum(t) from sources) as p from sources where t > 0),
+exponent as (select case when max(p) <= 2 * min(p) then 0 else 1 - ln(2) / ln(max(p) / min(p)) end as a from shares),
+powered as (select k, t, exp(a * ln(p)) as q from shares, exponent),
+totals as (select sum(q) as z, max(t / q) as least from powered),
+planned as (
+    select s.k, s.t, coalesce(q / z, 0) as weight, case when s.t > 0 then q / z * least * z / s.t else 1 end as repetition
+    from sources s left join powered p on p.k = s.k, totals
+),
+taken as (
+    select b.k, b.block, b.tokens, epoch, weight, repetition, t
+    from blocks b join planned p on p.k = b.k, unnest(range(1, cast(greatest(ceil(repetition - 1e-6), 1) as bigint) + 1)) e(epoch)
+),
+summed as (
+    select *, sum(tokens) over (
+        partition by k, epoch order by {_DIGEST.format("'0:' || epoch || ':' || block")}, block rows unbounded preceding
+    ) as until
+    from taken
+),
+plan as (
+    select k, block, epoch, weight, repetition from summed
+    where epoch <= floor(repetition + 1e-6) or until - tokens / 2 <= (repetition - epoch + 1) * t
+)
+select d.doc_id, d.source, cast(p.epoch as int) as epoch, cast(d.block as int) as block,
+       {_DIGEST.format("'0:' || p.epoch || ':' || coalesce(cast(d.doc_id as varchar), '')")} as place,
+       round(weight, 6) as weight, round(repetition, 6) as repetition, round((select a from exponent), 6) as alpha
+from docs d join plan p on p.k = d.k and p.block = d.block
+"""
