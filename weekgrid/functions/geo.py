@@ -62,7 +62,9 @@ def _letters(x: Column, y: Column) -> Column:
 
 
 def geohash4(lat: Column, lng: Column) -> Column:
-    return _letters(_axis(lng, -180.0, 360.0), _axis(lat, -90.0, 180.0))
+    """Cell of a pin; a pin without either coordinate has none."""
+    cell = _letters(_axis(lng, -180.0, 360.0), _axis(lat, -90.0, 180.0))
+    return F.when(lat.isNotNull() & lng.isNotNull(), cell)
 
 
 def _cell_axes(cell: Column) -> tuple[Column, Column]:

@@ -28,10 +28,11 @@ COUNTRY_ALIASES = {
 }
 # US, Canadian and Australian state codes.
 STATE_CODES = (
-    "AL AK AZ AR CA CO CT DC DE FL GA HI IA ID IL IN KS KY LA MA MD ME MI MN MO MS MT NC ND NE NH "
-    "NJ NM NV NY OH OK OR PA RI SC SD TN TX UT VA VT WA WI WV WY "
-    "AB BC MB NB NL NS NT NU ON PE QC SK YT ACT NSW QLD SA TAS VIC"
-).split()
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DC", "DE", "FL", "GA", "HI", "IA", "ID", "IL", "IN", "KS", "KY", "LA",
+    "MA", "MD", "ME", "MI", "MN", "MO", "MS", "MT", "NC", "ND", "NE", "NH", "NJ", "NM", "NV", "NY", "OH", "OK", "OR",
+    "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VA", "VT", "WA", "WI", "WV", "WY", "AB", "BC", "MB", "NB", "NL", "NS",
+    "NT", "NU", "ON", "PE", "QC", "SK", "YT", "ACT", "NSW", "QLD", "SA", "TAS", "VIC",
+)
 # City aliases, municipalities that own their districts, labels that are no city.
 CITY_ALIASES = {
     "greater london": "London",
@@ -69,7 +70,8 @@ STATE = f"(?i)^(?:{'|'.join(STATE_CODES)})$"
 AREA = r"^\d{1,2}\s| / "
 NO_CITY = f"{POSTAL}|{STATE[4:]}|{AREA}|^(?:{'|'.join(GENERIC_LABELS)})$"
 NO_HOOD = f"{POSTAL}|{STATE[4:]}| / |^(?:{'|'.join(GENERIC_LABELS)})$"
-MUNICIPALITY = "(?i)^(?:" + "|".join(MUNICIPALITIES + tuple(CITY_ALIASES)[:-1]) + ")$"
+MUNICIPAL_ALIASES = ("greater london", "city of london", "nyc", "new york city", "the bronx")
+MUNICIPALITY = "(?i)^(?:" + "|".join(MUNICIPALITIES + MUNICIPAL_ALIASES) + ")$"
 
 
 def _true(value: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weekgrid.functions.base import WS, blank_null, constant_array, squeeze
+from weekgrid.functions.base import WS, blank_null, constant_array, let, squeeze
 
 HANGUL = r"[\uAC00-\uD7A3]"
 
@@ -68,13 +68,21 @@ def _spread(text: Column) -> Column:
 
 
 def fold_marks(value: Column) -> Column:
-    """Compatibility-decompose and drop combining accents; ASCII rows pass untouched."""
+    """Compatibility-decompose and drop combining accents; ASCII rows pass untouched.
+
+    Each step runs once a row, however often the next one looks at its outcome.
+    """
     source, image, gone, several = _fold_tables()
-    single = F.translate(value, source + gone, image)
-    spreads = single.rlike(HANGUL) | (F.translate(single, "".join(several), "") != single)
-    return F.when(
-        value.rlike(r"[^\x00-\x7F]"), F.when(spreads, _spread(single)).otherwise(single)
-    ).otherwise(value)
+
+    def parted(single: Column) -> Column:
+        spreads = single.rlike(HANGUL) | (F.translate(single, "".join(several), "") != single)
+        return F.when(spreads, _spread(single)).otherwise(single)
+
+    def folded(text: Column) -> Column:
+        single = F.translate(text, source + gone, image)
+        return F.when(text.rlike(r"[^\x00-\x7F]"), let(single, parted)).otherwise(text)
+
+    return let(value, folded)
 
 
 def search_fold(value: Column) -> Column:

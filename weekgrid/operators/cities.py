@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from weekgrid.functions.base import bind
+from weekgrid.functions.geo import haversine_km
 from weekgrid.functions.place import is_usable_city, normalize_country
 from weekgrid.functions.text import slugify
 from weekgrid.operators.predicates import city_matches
@@ -21,11 +18,11 @@ c = F.col
 QUERY_ROWS, EMPTY_QUERY_ROWS = 20, 40
 
 
-def match_cities(cities: DataFrame, query: str) -> DataFrame:
-    """Best matches: exact label, label prefix, exact parent, rest; larger places first."""
-    by_size = [c("meeting_count").desc(), c("slug")]
+def _order(query: str) -> list[Column]:
+    """Exact label, label prefix, exact parent, rest; inside, larger places first."""
+    by_size = [-c("meeting_count"), c("slug")]
     if not query:
-        return cities.orderBy(*by_size).limit(EMPTY_QUERY_ROWS)
+        return by_size
     needle = F.lit(query.lower())
     label = F.lower("label")
     tier = (
@@ -34,62 +31,53 @@ def match_cities(cities: DataFrame, query: str) -> DataFrame:
         .when(F.lower(F.coalesce("parent_label", F.lit(""))) == needle, 2)
         .otherwise(3)
     )
-    return cities.where(city_matches(query)).orderBy(tier, *by_size).limit(QUERY_ROWS)
+    return [tier, *by_size]
+
 
+def match_cities(cities: DataFrame, query: str, rows: int | None = None) -> DataFrame:
+    """The best `rows` matches, by default as many as a suggestion list looks at."""
+    found = cities.where(city_matches(query)) if query else cities
+    return found.orderBy(*_order(query)).limit(rows or (QUERY_ROWS if query else EMPTY_QUERY_ROWS))
 
-def _distance(lat: float, lng: float, others: pd.DataFrame) -> np.ndarray:
-    here, there = np.radians((lat, lng)), np.radians(others[["lat", "lng"]].astype("float64").to_numpy())
-    half = (there - here) / 2
-    a = np.sin(half[:, 0]) ** 2 + np.cos(here[0]) * np.cos(there[:, 0]) * np.sin(half[:, 1]) ** 2
-    return 12742 * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(0, 1 - a)))
 
+def _repeats(kept: Column, row: Column) -> Column:
+    """Whether a kept suggestion is the same place nearby, or the same with label and state swapped.
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Walk suggestions in order and drop those that repeat a kept one nearby."""
-    rows = rows.sort_values("_order").reset_index(drop=True)
-    kept: list[int] = []
-    for i, row in rows.iterrows():
-        seen = rows.loc[kept]
-        seen = seen[seen["_nation"] == row["_nation"]]
-        same = (seen["_label"] == row["_label"]) & (seen["_parent"] == row["_parent"])
-        swapped = (seen["_label"] == row["_state"]) & (seen["_state"] == row["_label"])
-        seen = seen[same | swapped]
-        if seen.empty or (_distance(row["lat"], row["lng"], seen) >= SUGGESTION_RADIUS_KM).all():
-            kept.append(i)
-    return rows.loc[kept]
+    A place without coordinates is near nothing.
+    """
+    same = (kept["_label"] == row["_label"]) & (kept["_parent"] == row["_parent"])
+    swapped = (kept["_label"] == row["_state"]) & (kept["_state"] == row["_label"])
+    km = haversine_km(kept["lat"], kept["lng"], row["lat"], row["lng"])
+    near = F.coalesce((km < SUGGESTION_RADIUS_KM) & ~F.isnan(km), F.lit(False))
+    return (same | swapped) & (kept["_nation"] == row["_nation"]) & near
 
 
-def collapse_suggestions(suggestions: DataFrame, keys: list[str], order: str) -> DataFrame:
+def collapse_suggestions(suggestions: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Greedy proximity de-duplication of ordered suggestion lists.
 
-    Lists are at most 40 rows long, so a list is a small group whatever the table size.
+    Meant for lists that a limit has cut: one list becomes one sorted array, walked once.
     """
     text = lambda v: F.coalesce(v, F.lit(""))
-    rows = suggestions.where(
-        is_usable_city(c("label")) | (text(c("parent_label")) != "")
-    ).withColumns(
-        {
-            "_order": c(order),
-            "_label": slugify(c("label")),
-            "_state": text(slugify(c("state"))),
-            "_parent": text(c("parent_label")),
-            "_nation": text(normalize_country(c("country"))),
-        }
+    rows = bind(
+        suggestions.where(is_usable_city(c("label")) | (text(c("parent_label")) != "")),
+        _order=F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))),
+        _label=slugify(c("label")),
+        _state=text(slugify(c("state"))),
+        _parent=text(c("parent_label")),
+        _nation=text(normalize_country(c("country"))),
     )
-    kept = rows.groupBy(*keys).applyInPandas(_greedy, rows.schema)
-    return kept.select(*suggestions.columns)
+    columns = ["_order", *(n for n in rows.columns if n != "_order" and n not in keys)]
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_list"))
+    kept = F.aggregate(
+        "_list",
+        F.slice("_list", 1, 0),
+        lambda kept, row: F.when(F.exists(kept, lambda k: _repeats(k, row)), kept).otherwise(F.concat(kept, F.array(row))),
+    )
+    return bind(lists, _kept=kept).select(*keys, F.inline("_kept")).select("_order", *suggestions.columns)
 
 
 def search_cities(cities: DataFrame, query: str) -> DataFrame:
     """Type-ahead result for one query, in display order."""
-    found = match_cities(cities, query)
-    schema = T.StructType([*found.schema.fields, T.StructField("_at", T.LongType())])
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start = 0
-        for batch in batches:
-            yield batch.assign(_at=np.arange(start, start + len(batch)))
-            start += len(batch)
-
-    listed = found.coalesce(1).mapInPandas(number, schema).withColumn("_q", F.lit(0))
-    return collapse_suggestions(listed, ["_q"], "_at").orderBy("_at").select(*cities.columns)
+    listed = match_cities(cities, query).withColumn("_q", F.lit(0))
+    kept = collapse_suggestions(listed, ["_q"], _order(query))
+    return kept.orderBy("_order").select(*cities.columns)

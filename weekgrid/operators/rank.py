@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekgrid.functions.base import bind
+from weekgrid.functions.base import bind, let
 from weekgrid.functions.clock import (
     DAY_MINUTES,
     at,
@@ -74,7 +74,7 @@ def haystack(columns: list[str]) -> Column:
 def contains_all(text: Column, query: str) -> Column:
     """Every term of the query is part of the folded text."""
     terms = F.split(search_fold(F.lit(query)), " ")
-    return F.forall(terms, lambda term: F.contains(text, term))
+    return let(text, lambda folded: F.forall(terms, lambda term: F.contains(folded, term)))
 
 
 def keyword_filter(rows: DataFrame, query: str, semantic_keys: DataFrame | None = None) -> DataFrame:
@@ -92,17 +92,20 @@ def keyword_filter(rows: DataFrame, query: str, semantic_keys: DataFrame | None
     )
 
 
-def static_filters(rows: DataFrame, filters: Filters) -> DataFrame:
-    """Everything that needs neither clock nor origin; reaches the scan."""
+def key_filters(rows: DataFrame, filters: Filters) -> DataFrame:
+    """Filters on parts of the duplicate key: duplicates pass or fail together, so they come before the collapse."""
     return rows.where(
         fellowship_is(filters.fellowship)
         & attendance_is(filters.attendance)
-        & open_closed_is(filters.open_closed)
-        & has_all_types(filters.types)
         & in_window(minutes_of(c("time")), filters.time_window)
     )
 
 
+def static_filters(rows: DataFrame, filters: Filters) -> DataFrame:
+    """Everything that needs neither clock nor origin."""
+    return key_filters(rows, filters).where(open_closed_is(filters.open_closed) & has_all_types(filters.types))
+
+
 def with_distance(rows: DataFrame, origin: tuple[float, float] | None) -> DataFrame:
     """Kilometres from the origin; null without an origin or a pin."""
     distance = F.lit(None).cast("double")
@@ -181,8 +184,10 @@ def ranked(
     collapse: bool = True,
 ) -> DataFrame:
     """Kept rows with distance, schedule and group, not yet ordered."""
-    rows = collapse_duplicates(listings) if collapse else listings
-    rows = keyword_filter(static_filters(rows, filters), filters.query, semantic_keys)
+    rows = key_filters(listings, filters)
+    rows = collapse_duplicates(rows) if collapse else rows
+    rows = rows.where(open_closed_is(filters.open_closed) & has_all_types(filters.types))
+    rows = keyword_filter(rows, filters.query, semantic_keys)
     rows = with_distance(rows, origin).where(within(c("distance_km"), filters.radius_km))
     rows = with_schedule(rows, now, origin, default_zone)
     origin_zone = (zone_of_point(*origin) if origin else None) or default_zone

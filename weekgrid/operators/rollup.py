@@ -67,7 +67,7 @@ def cluster_stats(counts: DataFrame, keys: list[str]) -> DataFrame:
 
     def mode(count: str) -> Column:
         ranked = F.struct((-c(count)).alias("n"), c("geohash4").alias("cell"))
-        return F.min(F.when(c(count) > 0, ranked))["cell"]
+        return F.min(F.when((c(count) > 0) & c("geohash4").isNotNull(), ranked))["cell"]
 
     return counts.groupBy(*keys, "cluster").agg(
         F.sum("n").alias("meeting_count"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekgrid.functions.base import bind
 from weekgrid.functions.geo import cosine_similarity, format_distance
 from weekgrid.functions.text import search_fold
 from weekgrid.operators import cities as city_ops
@@ -283,7 +284,7 @@ _FOLD_SQL = "trim(regexp_replace(lower(strip_accents({0})), '\\s+', ' ', 'g'))"
     f"where contains({_FOLD_SQL.format('text')}, 'tion') and contains({_FOLD_SQL.format('text')}, 'er')"
 )
 def keyword_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang", search_fold(c("text")).alias("folded"))
+    docs = bind(table(spark, sf, "documents"), folded=search_fold(c("text"))).select("doc_id", "lang", "folded")
     hits = docs.where(rank.contains_all(c("folded"), "TIÔN  Ér"))
     return hits.select("doc_id", "lang", F.length("folded").cast("bigint").alias("folded_chars"))
 

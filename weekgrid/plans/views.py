@@ -123,12 +123,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share out a table that has fewer files than there are cores; larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
-
-
 def _select(columns: dict[str, str], source: str) -> str:
     return "select " + ", ".join(f"{text} as {name}" for name, text in columns.items()) + f" from {source}"
 
@@ -161,7 +155,7 @@ def listings(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     need = {prefix for _, _, prefix in LISTING_JOINS if re.search(rf"\b{prefix}", text)}
     need |= {"c_"} if "n_" in need else set()
     need |= {"o_"} if "c_" in need else set()
-    rows = spread(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+    rows = table(spark, sf, "lineitem")
     for name, on, prefix in LISTING_JOINS:
         if prefix in need:
             rows = rows.join(table(spark, sf, name), F.expr(on))
@@ -181,7 +175,7 @@ ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 
 def geohash4_sql(lat: str, lng: str) -> str:
-    """Four letters from ten bits per axis; a value on a border belongs to the lower cell."""
+    """Four letters from ten bits per axis; a value on a border belongs to the lower cell. No pin, no cell."""
 
     def axis(value: str, low: float, span: float) -> str:
         return f"least(greatest(cast(ceil(({value} + {low}) / {span} * 1024) as integer) - 1, 0), 1023)"
@@ -192,7 +186,7 @@ def geohash4_sql(lat: str, lng: str) -> str:
     for at in range(0, 20, 5):
         code = " + ".join(f"{bits[at + k]} * {16 >> k}" for k in range(5))
         letters.append(f"substr('{ALPHABET}', {code} + 1, 1)")
-    return "(" + " || ".join(letters) + ")"
+    return f"(case when {lat} is not null and {lng} is not null then " + " || ".join(letters) + " end)"
 
 
 def slug_sql(value: str) -> str:
