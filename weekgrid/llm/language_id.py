@@ -161,15 +161,18 @@ def _predict(model, bits: int, names: list[str], out: list[str] = ["lang_pred",
     return run
 
 
-def sample(docs: DataFrame, learn: Column, examples: int, max_chars: int = 200_000) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, learn: Column, examples: int, max_chars: int = 30_000) -> list[tuple[str, str]]:
     """(lang, text) of at most `examples` documents, those whose key hashes lowest; for learning only.
 
     Keys are picked before any text is read. Texts above `max_chars` and texts without a letter teach nothing.
     """
     keys = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("_at"))
+    keys = keys.distinct()
     few = F.broadcast(keys.orderBy("_at", "doc_id").limit(examples).select("doc_id"))  # a size fixed by the parameter
     texts = docs.where(F.col("text").rlike(r"\p{L}") & (F.length("text") <= max_chars) & F.col("lang").isNotNull())
-    rows = texts.join(few, "doc_id", "left_semi").select("lang", "text").toArrow()
+    # A document that stands there several times is one example.
+    once = texts.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one"))
+    rows = once.select("one.lang", "one.text").toArrow()
     return list(zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True))
 
 

@@ -33,7 +33,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, counts
 
 
-def _count(order: int, most: int = 3_000_000):
+def _count(order: int, most: int = 1_500_000):
     """Distinct words and byte runs with their counts, in rows of (kind, key, n); each text's end is counted later."""
 
     def rows(kind: int, parts: list) -> pa.RecordBatch:
@@ -90,8 +90,22 @@ def _score(model, head):
     return run
 
 
+def most_frequent(counts: DataFrame, rows: int, fine: int = 100_000) -> DataFrame:
+    """(key, n) of the keys whose count reaches the lowest limit that at most `rows` keys reach.
+
+    Keys are counted by count first, so nothing is sorted. Counts above `fine` are not told apart: were there more
+    than `rows` of them, none would be taken.
+    """
+    by_count = counts.groupBy(F.least(F.col("n"), F.lit(fine)).alias("n")).count().toArrow()
+    n, keys = by_count["n"].to_numpy(), by_count["count"].to_numpy()
+    down = np.argsort(-n)
+    fit = n[down][np.cumsum(keys[down]) <= rows]
+    limit = int(fit.min()) if len(fit) else fine + 1
+    return counts.where(F.col("n") >= limit).select("key", "n")
+
+
 def lm_scores(
-    docs: DataFrame, learn: Column, order: int = 5, max_contexts: int = 131_072, head: int = 200_000
+    docs: DataFrame, learn: Column, order: int = 5, max_contexts: int = 65_536, head: int = 200_000
 ) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -112,10 +126,11 @@ def lm_scores(
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("key")).first()
     tokens, kinds = total + ends, distinct + (ends > 0)
 
-    # The trie needs no rarer run than its largest size can hold; both tables have a fixed number of rows.
-    runs = counts.where(F.col("kind") == _GRAMS).orderBy(F.desc("n"), "key").limit(16 * max_contexts).select("key", "n").toArrow()
+    # Both tables have a largest number of rows that the parameters fix.
+    runs = most_frequent(counts.where(F.col("kind") == _GRAMS), 16 * max_contexts).toArrow()
     trie = ppm.train(runs["key"].to_numpy().view(np.uint64), runs["n"].to_numpy().astype(float), order, max_contexts)
-    top = words.orderBy(F.desc("n"), "key").limit(head).toArrow()
+    del runs
+    top = most_frequent(words, head).toArrow()
     names = top["key"].to_numpy().view(np.uint64)
     by_name = np.argsort(names)
     known = names[by_name], np.log10(top["n"].to_numpy()[by_name] + 1.0)

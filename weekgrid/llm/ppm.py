@@ -55,7 +55,7 @@ def grams(raw: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(codes[own[order:]], return_counts=True)
 
 
-def train(codes: np.ndarray, counts: np.ndarray, order: int, max_contexts: int = 131_072) -> Model:
+def train(codes: np.ndarray, counts: np.ndarray, order: int, max_contexts: int = 65_536) -> Model:
     """The model of the counts that `grams` gives, summed over all training texts.
 
     At most `max_contexts` contexts are kept, by a threshold on their counts. Shorter contexts are at least as

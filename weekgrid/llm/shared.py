@@ -21,7 +21,7 @@ def held_out(key: str, modulus: int, rest: int) -> Column:
 
 
 def labelled(
-    docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, max_chars: int = 200_000
+    docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, max_chars: int = 30_000
 ) -> DataFrame:
     """`text` and `y` of a bounded sample of labelled documents.
 
@@ -40,4 +40,5 @@ def labelled(
     # At most 2 * per_class rows of two numbers: a size fixed by the parameter.
     few = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", "y"))
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    return texts.join(few, "doc_id").select("text", "y")
+    # A document that stands there several times is one example.
+    return texts.join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")
