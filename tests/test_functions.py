@@ -43,6 +43,11 @@ def test_slugs_differ_on_accents(one):
     assert len(one(text.slugify(c("s")), s="x" * 200)) == 80
 
 
+def test_no_pin_has_no_cell(spark):
+    rows = spark.createDataFrame([(None, 1.0), (1.0, None), (None, None)], "lat double, lng double")
+    assert {r.g for r in rows.select(geo.geohash4(c("lat"), c("lng")).alias("g")).collect()} == {None}
+
+
 def test_geohash_and_ring(one):
     assert one(geo.geohash4(c("lat"), c("lng")), lat=51.5072, lng=-0.1276) == "gcpv"
     ring = one(geo.neighbors(c("g")), g="gcpv")
@@ -110,6 +115,15 @@ def test_zones(one):
     assert zone(z="UTC", lat=40.7, lng=-74.0, k="US", s="NY") == "America/New_York"
     assert zone(z="Not/AZone", lat=-80.0, lng=0.0, k="US", s="CA") == "America/Los_Angeles"
     assert zone(z="UTC", lat=-80.0, lng=0.0, k="XX", s="x") == "Europe/London"
+    assert zone(z="", lat=-80.0, lng=0.0, k="US", s="MI") == "America/Detroit"
+
+
+def test_every_valid_zone_is_known_to_the_engine(spark):
+    import zoneinfo
+
+    names = spark.createDataFrame([(z,) for z in sorted(zoneinfo.available_timezones()) + ["No/Zone"]], "z string")
+    rows = names.select("z", clock.local_day_and_time(F.timestamp_micros(F.lit(0)), c("z"))["time"].alias("t")).collect()
+    assert len(rows) > 400 and all(r.t for r in rows)
 
 
 def test_local_day_and_time(one):

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from weekgrid.operators import cities, clean, dedupe, feeds, notes, predicates, rank, slices
 from weekgrid.schemas import FEEDS, LISTINGS
@@ -26,7 +27,7 @@ def listing(**over):
 
 @pytest.fixture
 def rows(spark):
-    schema = LISTINGS.add("source_verified_at", "timestamp") if "source_verified_at" not in LISTINGS.names else LISTINGS
+    schema = StructType([*LISTINGS.fields, StructField("source_verified_at", TimestampType())])
 
     def make(*items):
         return spark.createDataFrame([tuple(listing(**i).get(n) for n in schema.names) for i in items], schema)
@@ -115,9 +116,10 @@ def test_suggestions_collapse_greedily(spark):
         ("b", "leeds", None, "UK", 53.9, -1.5, "gcwf", 40, None, ["Leeds"]),
         ("c", "Leeds", "X", "GB", 51.0, -1.5, "gcpc", 30, None, ["Leeds"]),
         ("d", "X", "Leeds", "GB", 53.8, -1.5, "gcwf", 20, None, ["Leeds"]),
+        ("e", "Leeds", "X", "GB", None, None, None, 10, None, ["Leeds"]),
     ]
     found = cities.search_cities(spark.createDataFrame(data, schema), "leeds")
-    assert [r.slug for r in found.collect()] == ["a", "c"]
+    assert [r.slug for r in found.collect()] == ["a", "c", "e"]  # no coordinates, near nothing
 
 
 def test_venue_pins_ignore_other_feeds(rows):
@@ -127,6 +129,26 @@ def test_venue_pins_ignore_other_feeds(rows):
     assert got == {"a": (51.51, "gcpv"), "b": (51.51, "gcpv"), "c": (None, None)}
 
 
+def test_rows_that_turn_online_get_their_citys_cell(rows):
+    frame = rows({"slug": "a", "lat": None, "lng": None, "geohash4": None, "conference_url": "https://m.example.org/1", "attendance": "in-person",
+                  "city": "Poole", "state": None, "country": "GB", "postal_code": "BH9 9ZZ"})
+    known = frame.sparkSession.createDataFrame([("Poole, GB", 50.7, -2.0)], "query string, lat double, lng double")
+    once = predicates.keep_rules(clean.complete_pins(frame, known))
+    done = clean.complete_pins(once, known).first()
+    assert (once.first().geohash4, done.attendance, done.lat, len(done.geohash4)) == (None, "online", None, 4)
+
+
+def test_cache_keeps_the_first_row_of_a_key(spark):
+    batch = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5)] * 3, "k string, v int").repartition(5)
+    cache = spark.createDataFrame([("b", 1, None)], "k string, v int, cached_at timestamp")
+    assert [(r.k, r.v) for r in clean.cache_append(cache, batch, "k", NOW).collect()] == [("a", 1)]
+
+
+def test_limits_are_the_callers(spark):
+    many = spark.range(500).select(F.format_string("f%03d", "id").alias("id"), F.lit(None).cast("timestamp").alias("last_attempt_at"), F.lit(None).cast("timestamp").alias("last_ok_at"))
+    assert feeds.stale_first(many, 400).count() == 400 and feeds.stale_first(many, None).count() == 500
+
+
 def test_vector_plan_and_apply(spark):
     listed = spark.createDataFrame([("f", "new", "a", None), ("f", "same", "b", None), ("f", "blank", " ", None)],
                                    "feed_id string, slug string, notes string, location_notes string")

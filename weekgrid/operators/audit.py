@@ -14,7 +14,6 @@ from weekgrid.operators.dedupe import first_by
 from weekgrid.operators.predicates import is_fresh, is_malformed_city
 from weekgrid.operators.rollup import CITY, scope_columns
 from weekgrid.operators.serving import with_fresh_feed
-from weekgrid.schemas import TOP_ANOMALIES
 
 c = F.col
 
@@ -77,9 +76,9 @@ def feeds_behind(feeds: DataFrame, now: datetime) -> DataFrame:
 
 
 def mapping_anomalies(
-    listings: DataFrame, feeds: DataFrame, now: datetime, limit: int = TOP_ANOMALIES, span: float = SPAN_DEGREES
+    listings: DataFrame, feeds: DataFrame, now: datetime, limit: int | None = None, span: float = SPAN_DEGREES
 ) -> DataFrame:
-    """Cities whose dominant cluster spans too many degrees, largest first."""
+    """Cities whose dominant cluster spans too many degrees: all, or the largest `limit` in order."""
     rows = listings.where(
         (c("attendance") != "online") & c("city").isNotNull() & c("lat").isNotNull() & c("lng").isNotNull()
     ).select("feed_id", "city", "state", "country", "lat", "lng", "geohash4")
@@ -95,11 +94,11 @@ def mapping_anomalies(
     )
     best = first_by(stats, CITY, c("listings").desc(), c("cluster").asc_nulls_last())
     wide = (c("latitude_span") > span) | (c("longitude_span") > span)
+    found = best.where(c("cluster").isNotNull() & c("scope").isNotNull() & wide)
+    if limit is not None:
+        found = found.orderBy(c("listings").desc(), "city", "state", "country", "scope").limit(limit)
     return (
-        best.where(c("cluster").isNotNull() & c("scope").isNotNull() & wide)
-        .orderBy(c("listings").desc(), "city", "state", "country", "scope")
-        .limit(limit)
-        .select("city", "state", "country", "listings", "latitude_span", "longitude_span")
+        found.select("city", "state", "country", "listings", "latitude_span", "longitude_span")
     )
 
 

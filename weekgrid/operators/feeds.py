@@ -21,7 +21,7 @@ from weekgrid.functions.urls import (
     search_url,
 )
 from weekgrid.operators.dedupe import first_by, numbered
-from weekgrid.schemas import ERROR_TEXT_MAX, FEED_PAGE, FEED_PAGE_MAX, FEEDS, STALE_RUN_MINUTES
+from weekgrid.schemas import ERROR_TEXT_MAX, FEED_PAGE, FEEDS, STALE_RUN_MINUTES
 from weekgrid.sources.pages import intergroup_slug
 
 c = F.col
@@ -260,7 +260,7 @@ def claimable(
 def stale_first(feeds: DataFrame, limit: int | None = FEED_PAGE) -> DataFrame:
     """Feeds in ingest order: never tried first, then the longest ago."""
     rows = feeds.orderBy(c("last_attempt_at").asc_nulls_first(), c("last_ok_at").asc_nulls_first(), c("id"))
-    return rows if limit is None else rows.limit(min(limit, FEED_PAGE_MAX))
+    return rows if limit is None else rows.limit(limit)
 
 
 def coerce_claimed(rows: DataFrame) -> DataFrame:
@@ -324,10 +324,14 @@ def apply_results(feeds: DataFrame, results: DataFrame, now: datetime) -> DataFr
     )
 
 
-def run_totals(results: DataFrame) -> DataFrame:
-    """Counters of a run; errors are one text per failing feed, the first 20 by feed."""
-    failed = results.where(c("outcome") == "error")
-    notes = failed.select(F.concat_ws(": ", "feed_id", "error").alias("note")).orderBy("note").limit(20)
+def run_errors(results: DataFrame) -> DataFrame:
+    """Every failing feed of a run with its error."""
+    return results.where(c("outcome") == "error").select("feed_id", "error")
+
+
+def run_totals(results: DataFrame, shown: int = 20) -> DataFrame:
+    """Counters of a run; the summary shows the first errors by feed, `run_errors` has them all."""
+    notes = run_errors(results).select(F.concat_ws(": ", "feed_id", "error").alias("note")).orderBy("note").limit(shown)
     counters = results.agg(
         F.count("*").alias("feeds_processed"),
         F.count_if(c("outcome").isin("written", "unchanged")).alias("feeds_ok"),

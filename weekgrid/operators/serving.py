@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weekgrid.functions.labels import as_fellowship
 from weekgrid.operators.dedupe import collapse_duplicates
 from weekgrid.operators.predicates import is_fresh, is_safe
-from weekgrid.schemas import ONLINE_LIMIT, ONLINE_LIMIT_MAX
+from weekgrid.schemas import ONLINE_LIMIT
 
 c = F.col
 
@@ -85,6 +85,6 @@ def online_page(
         public_listings(joinable, feeds, now)
         .orderBy(*order, *tiebreak)
         .offset(max(offset, 0))
-        .limit(min(limit or ONLINE_LIMIT, ONLINE_LIMIT_MAX))
+        .limit(limit)
     )
     return collapse_duplicates(with_entity(page, entities))

@@ -11,6 +11,7 @@ from weekgrid.operators import feeds as feed_ops
 from weekgrid.plans.registry import query
 from weekgrid.plans.serving import ELIGIBLE_SQL, INDEX_SQL, real
 from weekgrid.plans.views import CTES, NOW, NOW_SQL, entities, feeds, listings, slug_sql, table
+from weekgrid.schemas import TOP_ANOMALIES
 from weekgrid.streaming.incremental import next_places
 
 c = F.col
@@ -175,7 +176,7 @@ anomalies as (select * from (select *, row_number() over (partition by city, sta
 def mapping_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     """At 0.9 degrees, so that cities within one prefix of the views show up."""
     columns = ("feed_id", "city", "state", "country", "attendance", "lat", "lng", "geohash4")
-    rows = audit.mapping_anomalies(listings(spark, sf, *columns), feeds(spark, sf), NOW, span=0.9)
+    rows = audit.mapping_anomalies(listings(spark, sf, *columns), feeds(spark, sf), NOW, TOP_ANOMALIES, span=0.9)
     spans = [F.round(n, 6).alias(n) for n in ("latitude_span", "longitude_span")]
     return rows.select("city", "state", "country", "listings", *spans)
 

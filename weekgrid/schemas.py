@@ -13,11 +13,10 @@ SUGGESTION_RADIUS_KM = 40.0
 NOTE_SIMILARITY_MIN = 0.3
 NOTE_HITS = 5
 FINDER_NOTE_HITS = 12
-FEED_PAGE, FEED_PAGE_MAX = 20, 32
-EMBED_LIMIT, EMBED_LIMIT_MAX = 50, 400
+FEED_PAGE = 20
 MAX_REFS = 200
 MAX_TOOL_ROWS = 8
-ONLINE_LIMIT, ONLINE_LIMIT_MAX = 80, 200
+ONLINE_LIMIT = 80
 TOP_CITIES, TOP_CELLS, TOP_ANOMALIES = 200, 400, 100
 ERROR_TEXT_MAX = 500
 STALE_RUN_MINUTES = 10
