@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from weekgrid.llm.components import connected
 from weekgrid.llm.words import chunks, mix, shingle_sets
-from weekgrid.operators.staging import discard, staged
+from weekgrid.operators.staging import staged
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,22 +102,57 @@ def _runs(size: int, percent: int):
     return run
 
 
-def _elements(size: int):
+def _elements(size: int, marks):
+    """The sets of the documents that `marks` lets through: all that are wanted, and few others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, start, sets in _sets(batches, size):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("set_id").slice(start, len(sets)),
-                    batch.column("component").slice(start, len(sets)),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                names=["set_id", "component", "n", "elements"],
-            )
+        bits, seen = marks.value, set()
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            at = mark_of(ids, 64 * len(bits))
+            keep = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+            for i in np.flatnonzero(keep).tolist():
+                # Repeated rows of a document: once a task.
+                keep[i] = ids[i] not in seen
+                seen.add(ids[i])
+            kept = batch.filter(pa.array(keep))
+            for _, start, sets in _sets(iter([kept]), size):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        kept.column("doc_id").slice(start, len(sets)),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                    ],
+                    names=["doc_id", "n", "elements"],
+                )
 
     return run
 
 
+def mark_of(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _marked(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(mark_of(batch.column("doc_id").to_numpy(), bits))
+            word, first = np.unique(at >> 6, return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+    return run
+
+
+def marks_of(wanted: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
+    """A bitmap of hashed doc_ids, some 16 bits a document but never above `most_bits` (8 MB)."""
+    bits = min(most_bits, max(64, 1 << (16 * wanted.count()).bit_length()))
+    words = wanted.select("doc_id").mapInArrow(_marked(bits), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return out
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted arrays."""
     if len(a) > len(b):
@@ -127,12 +162,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def compare(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links among `sets`, enough to connect all that are connected; where `side` has both 0 and 1, only across."""
+def compare(sets: list[np.ndarray], side: np.ndarray, percent: int, within: bool = True) -> list[tuple[int, int]]:
+    """Links among the sets of side 0 (if `within`) and between the sides, enough to connect all that these connect."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     sizes = np.array([len(sets[i]) for i in order], np.int64)
     side = side[order]
-    across = side.min() != side.max()
     bits = 64 * max(1, 1 << int(4 * sizes[-1] // 64).bit_length())
     maps = np.zeros((len(order), bits // 64), np.uint64)
     for row, i in enumerate(order):
@@ -143,7 +177,7 @@ def compare(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tupl
     for i in range(len(order)):
         stop = int(np.searchsorted(sizes, 100 * sizes[i] // percent, "right"))
         others = np.arange(i + 1, stop)
-        others = others[(group[others] != group[i]) & ((side[others] != side[i]) | (not across))]
+        others = others[(group[others] != group[i]) & ((side[others] != side[i]) | (within and side[i] == 0))]
         if not len(others):
             continue
         need = -(-percent * (sizes[i] + sizes[others]) // (100 + percent))
@@ -160,40 +194,46 @@ def compare(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tupl
 
 
 def _tile(percent: int):
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
+        _, _, i, j = key
         sets = [np.frombuffer(e, np.uint64) for e in tile["elements"]]
         names = tile["set_id"].to_numpy()
-        links = compare(sets, tile["side"].to_numpy(), percent)
+        links = compare(sets, tile["side"].to_numpy(), percent, within=i == j)
         return pd.DataFrame({"a": [names[i] for i, _ in links], "b": [names[j] for _, j in links]}, dtype="int64")
 
     return run
 
 
-def tiles(members: DataFrame, percent: int, tile_elements: int) -> DataFrame:
-    """Every member once for each tile it belongs to: component, band, i, j, side.
+def with_tiles(members: DataFrame, percent: int, tile_elements: int) -> DataFrame:
+    """`members` (component, set_id, n and more) with `tiles`, the tiles a set belongs to; sets without any are left out.
 
     Band k holds the sizes in [r**k, r**(k+1)), r = 100/percent, so links stay in a band or join it with the next.
-    A band of more than `tile_elements` elements is dealt into blocks by the set's hash. Tile (k, i, j) compares block
-    i of band k with block j of the same band (j >= i) or, counted on from there, block j of band k+1.
+    A band of more than `tile_elements` elements is dealt into blocks by the set's hash. Tile (k, i, i) compares block i
+    of band k with itself and with block 0 of band k+1; tile (k, i, j) compares it with block j > i of the same band or,
+    counted on from there, with block j of band k+1. So in a component of one block a band, a set is in two tiles, or
+    in one where its band or the next holds no other set.
     """
     ratio = F.log(F.lit(100 / percent))
     banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int"))
-    blocks = banded.groupBy("component", "band").agg(F.ceil(F.sum("n") / F.lit(tile_elements)).cast("int").alias("k"))
+    blocks = banded.groupBy("component", "band").agg(
+        F.ceil(F.sum("n") / F.lit(tile_elements)).cast("int").alias("k"), F.count("*").alias("sets")
+    )
     after = blocks.select("component", (F.col("band") - 1).alias("band"), F.col("k").alias("k_next"))
     before = blocks.select("component", (F.col("band") + 1).alias("band"), F.col("k").alias("k_last"))
-    counts = (
-        blocks.join(after, ["component", "band"], "left").join(before, ["component", "band"], "left").na.fill(0, ["k_next", "k_last"])
-    )
+    counts = blocks.join(after, ["component", "band"], "left").join(before, ["component", "band"], "left").na.fill(0, ["k_next", "k_last"])
     placed = banded.join(counts, ["component", "band"]).withColumn("s", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
     tile = lambda band, i, j, side: F.struct(band.alias("t_band"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     k, s, band = F.col("k"), F.col("s"), F.col("band")
     spread = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array().cast("array<struct<t_band:int,i:int,j:int,side:int>>"))
+    alone = (F.col("sets") == 1) & (F.col("k_next") == 0)
     homes = F.concat(
-        F.filter(spread(k + F.col("k_next"), lambda j: tile(band, s, j, 0)), lambda x: x["j"] >= s),
+        # Its own tile, later blocks of its band, further blocks of the next band.
+        F.filter(spread(k + F.col("k_next"), lambda j: tile(band, s, j, 0)), lambda x: (x["j"] >= s) & (x["j"] != k) & ~alone),
         F.filter(spread(k, lambda i: tile(band, i, s, 1)), lambda x: x["i"] < s),
-        spread(F.col("k_last"), lambda i: tile(band - 1, i, F.col("k_last") + s, 1)),
+        # The tiles of the band before.
+        spread(F.col("k_last"), lambda i: tile(band - 1, i, F.when(s == 0, i).otherwise(F.col("k_last") + s), 1)),
     )
-    return placed.select("component", "set_id", "elements", F.inline(homes))
+    return placed.select(*members.columns, homes.alias("tiles")).where(F.size("tiles") > 0)
 
 
 def jaccard_components(
@@ -219,21 +259,20 @@ def jaccard_components(
     near = strung.where((F.col("a") != F.col("b")) & (F.col("n") * percent <= F.col("n_last") * 100))
     candidates = staged(connected(near.select("a", "b").distinct()), "candidates")
 
-    # One text of each candidate set is read again for its elements.
-    first = sized.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = staged(
-        candidates.join(first, candidates["node"] == first["set_id"]).select("doc_id", "set_id", "component"), "wanted"
-    )
-    texts = plain.join(wanted, "doc_id").dropDuplicates(["set_id"]).select("set_id", "component", "text")
-    members = texts.mapInArrow(_elements(size), "set_id long, component long, n long, elements binary")
-    members = staged(members, "members")
+    # Tiles are dealt on numbers alone. Then one text of each candidate set is read again for its elements, which are
+    # shuffled to their sets and on to the tiles; a bitmap keeps all other texts out.
+    first = sized.where("set_id is not null and doc_id is not null").groupBy("set_id", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc_id"))
+    members = candidates.join(first, candidates["node"] == first["set_id"]).select("doc_id", "set_id", "component", "n")
+    wanted = staged(with_tiles(members, percent, tile_elements).drop("n"), "wanted")
+    marks = docs.sparkSession.sparkContext.broadcast(marks_of(wanted))
+    sets = plain.where("doc_id is not null").mapInArrow(_elements(size, marks), "doc_id long, n long, elements binary")
     links = (
-        tiles(members, percent, tile_elements)
+        sets.join(wanted, "doc_id")
+        .select("component", "set_id", "elements", F.inline("tiles"))
         .groupBy("component", "t_band", "i", "j")
         .applyInPandas(_tile(percent), "a long, b long")
     )
     joined = staged(connected(links), "joined")
-    discard(members)
 
     home = sized.join(joined, sized["set_id"] == joined["node"], "left").withColumn("class", F.coalesce("component", "set_id"))
     lowest = home.where("set_id is not null").groupBy("class").agg(F.min("doc_id").alias("low"))
