@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = (
     "coverage_cells", "safe_listings", "collapse_duplicates", "rank_nearby", "place_unique_rank", "audit_counts", "city_search",
-    "online_page", "vector_plan", "catalog_merge", "json_route", "geocode_completion",
+    "online_page", "vector_plan", "catalog_merge", "json_route", "geocode_completion", "simple_city_rollup", "slice_rows",
+    "print_pages", "mapping_anomalies", "geocode_queries", "slice_cells", "keyword_documents",
 )
 
 
