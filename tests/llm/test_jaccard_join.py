@@ -8,7 +8,7 @@ import pytest
 from tests.llm.test_words import words
 from weekgrid.llm import sql
 from weekgrid.llm.components import connected
-from weekgrid.llm.jaccard_join import compare, jaccard_components, one_per_group, overlap, prefix_runs
+from weekgrid.llm.jaccard_join import bitmap, compare, folded, jaccard_components, one_per_group, overlap, prefix_runs
 
 
 def shingles(text):
@@ -88,7 +88,12 @@ def test_compare_connects_all_links():
             s = {*base[: rng.randint(20, 40)], *rng.sample(pool, rng.randint(0, 8))}
             sets.append(np.array(sorted(s), np.uint64))
         got = list(range(25))
-        for i, j in compare(sets, np.zeros(25, int), 80):
+        sizes, maps = np.array(list(map(len, sets))), list(map(bitmap, sets))
+        allowed = [*range(25)]
+        for i, j in compare(sizes, maps, np.zeros(25, int), 80):
+            allowed = [allowed[i] if g == allowed[j] else g for g in allowed]
+        for i, j in compare(sizes, maps, np.zeros(25, int), 80, sets=sets):
+            assert allowed[i] == allowed[j]
             assert 100 * overlap(sets[i], sets[j]) >= 80 * len(np.union1d(sets[i], sets[j]))
             got = [got[i] if g == got[j] else g for g in got]
         want = list(range(25))
@@ -99,6 +104,16 @@ def test_compare_connects_all_links():
         assert [[g == h for h in got] for g in got] == [[g == h for h in want] for g in want]
 
 
+def test_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        pool = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+        a, b = np.sort(rng.choice(pool, int(rng.integers(1, 200)), False)), np.sort(rng.choice(pool, int(rng.integers(1, 200)), False))
+        x, y = folded([bitmap(a), bitmap(b)])
+        assert overlap(a, b) <= len(a) - int(np.bitwise_count(x & ~y).sum())
+        assert overlap(a, b) <= len(b) - int(np.bitwise_count(y & ~x).sum())
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 95), (7, 7), (300, 300), (None, 5)]
     got = connected(spark.createDataFrame(links, "a long, b long").repartition(7))

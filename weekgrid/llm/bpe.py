@@ -6,8 +6,7 @@ once by the tokenizers library and its ids are put back at every place where it
 id-to-piece table. Both tables are bounded: the vocabulary by its file, the word table by `table_words`, beyond which
 it starts anew.
 
-One table of all distinct words, joined back by (document, place), would shuffle a row a word: about six times the
-size of the compressed texts.
+One table of all distinct words, joined back by (document, place), would shuffle a row a word.
 """
 
 from __future__ import annotations

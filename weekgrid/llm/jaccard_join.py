@@ -12,12 +12,13 @@ or more, given in hundredths and tested in whole numbers.
    1/s times the one before, are strung on a chain; the chains' components are small, and no link leaves one. A
    component's sets fall into size bands of the ratio 1/s, and large bands into blocks; a tile compares a block with
    itself, a later block of its band or a block of the next band.
-3. *Bitmaps.* In a tile every set becomes a bitmap of its hashed elements. Bits that only one bitmap has are elements
-   that only one set has, so bit counts bound the overlap from above.
-4. *Exact.* What the bound lets through is counted in the sorted arrays. Pairs that are already connected are skipped,
-   so a block of near copies costs about one comparison a set.
+3. *Bitmaps.* Every set has a bitmap of its hashed elements. Bits that only one bitmap has are elements that only one
+   set has, so bit counts bound the overlap from above. The tiles first meet with bitmaps alone, a fortieth of the
+   elements: sets without a possible link drop out, the others form smaller components and tiles anew.
+4. *Exact.* In those, elements are moved, and what the bound lets through is counted in the sorted arrays. Pairs that
+   are already connected are skipped, so a block of near copies costs about one comparison a set.
 
-Nothing but the sets of step 2's components is moved with its elements. Hot shingles (passages in a third of all
+Nothing but the sets of possible links is moved with its elements. Hot shingles (passages in a third of all
 documents) make long chains of two numbers, not pairs. Copies go before the shuffle, once per task. Elements are 64-bit
 hashes; sets are taken as equal when size and 64-bit set hash agree.
 """
@@ -52,6 +53,20 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Rec
             yield batch, start, shingle_sets(raw, size)
 
 
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    """Bits of the elements' lowest bits, 2 to 4 for each element (at least 64), in words."""
+    bits = max(64, 1 << (2 * len(elements) - 1).bit_length())
+    flags = np.zeros(bits, bool)
+    flags[(elements & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """The bitmaps at the size of the smallest: the halves of a larger one laid over each other."""
+    words = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, words), axis=0) for m in maps])
+
+
 def _sizes(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, start, sets in _sets(batches, size):
@@ -60,8 +75,9 @@ def _sizes(size: int):
                     batch.column("doc_id").slice(start, len(sets)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_id"],
+                names=["doc_id", "n_shingles", "set_id", "bitmap"],
             )
 
     return run
@@ -162,16 +178,15 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def compare(sets: list[np.ndarray], side: np.ndarray, percent: int, within: bool = True) -> list[tuple[int, int]]:
-    """Links among the sets of side 0 (if `within`) and between the sides, enough to connect all that these connect."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[i]) for i in order], np.int64)
-    side = side[order]
-    bits = 64 * max(1, 1 << int(4 * sizes[-1] // 64).bit_length())
-    maps = np.zeros((len(order), bits // 64), np.uint64)
-    for row, i in enumerate(order):
-        at = sets[i] & np.uint64(bits - 1)
-        np.bitwise_or.at(maps[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+def compare(
+    sizes: np.ndarray, maps: list[np.ndarray], side: np.ndarray, percent: int, within: bool = True, sets: list[np.ndarray] | None = None
+) -> list[tuple[int, int]]:
+    """Links among the sets of side 0 (if `within`) and between the sides, enough to connect all that these connect.
+
+    Without the `sets` themselves, the links that their bitmaps allow.
+    """
+    order = np.argsort(sizes, kind="stable")
+    sizes, side, maps = sizes[order], side[order], folded([maps[i] for i in order])
     group = np.arange(len(order))
     found = []
     for i in range(len(order)):
@@ -187,23 +202,30 @@ def compare(sets: list[np.ndarray], side: np.ndarray, percent: int, within: bool
             sizes[others] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64),
         )
         for j, least in zip(others[most >= need].tolist(), need[most >= need].tolist(), strict=True):
-            if group[j] != group[i] and overlap(sets[order[i]], sets[order[j]]) >= least:
+            if group[j] != group[i] and (sets is None or overlap(sets[order[i]], sets[order[j]]) >= least):
                 found.append((int(order[i]), int(order[j])))
                 group[group == group[j]] = group[i]
     return found
 
 
 def _tile(percent: int):
+    """Links in a tile of (set_id, side, n, and elements or a bitmap)."""
+
     def run(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
         _, _, i, j = key
-        sets = [np.frombuffer(e, np.uint64) for e in tile["elements"]]
+        sets = [np.frombuffer(e, np.uint64) for e in tile["elements"]] if "elements" in tile else None
+        maps = [np.frombuffer(m, np.uint64) for m in tile["bitmap"]] if sets is None else list(map(bitmap, sets))
         names = tile["set_id"].to_numpy()
-        links = compare(sets, tile["side"].to_numpy(), percent, within=i == j)
+        links = compare(tile["n"].to_numpy(), maps, tile["side"].to_numpy(), percent, i == j, sets)
         return pd.DataFrame({"a": [names[i] for i, _ in links], "b": [names[j] for _, j in links]}, dtype="int64")
 
     return run
 
 
+def _links(tiled: DataFrame, percent: int) -> DataFrame:
+    return tiled.groupBy("component", "t_band", "i", "j").applyInPandas(_tile(percent), "a long, b long")
+
+
 def with_tiles(members: DataFrame, percent: int, tile_elements: int) -> DataFrame:
     """`members` (component, set_id, n and more) with `tiles`, the tiles a set belongs to; sets without any are left out.
 
@@ -242,14 +264,17 @@ def jaccard_components(
     """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text; other columns are not read).
 
     `component_id` is the smallest doc_id that links lead to, the document's own included. Null or wordless texts have
-    no shingles and only themselves; a null doc_id has a null component and lends it to nobody, though its text still
-    connects others. Repeated rows are copies and come out as often as they came in. `percent` is the limit in
-    hundredths, from 80 to 100.
+    no shingles and only themselves; a row with a null doc_id takes part in no link and has a null component. Repeated
+    rows are copies and come out as often as they came in. `percent` is the limit in hundredths, from 80 to 100.
     """
     if not 80 <= percent <= 100:
         raise ValueError("the tiles are complete for limits from 80 to 100 hundredths")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = staged(plain.mapInArrow(_sizes(size), "doc_id long, n_shingles long, set_id long"), "shingle-sizes")
+    schema = "doc_id long, n_shingles long, set_id long, bitmap binary"
+    sized = staged(plain.mapInArrow(_sizes(size), schema), "shingle-sizes")
+    # One document stands for a set; copies are gone after the partial aggregation of each task.
+    first = sized.where("set_id is not null and doc_id is not null").groupBy("set_id", F.col("n_shingles").alias("n"))
+    first = staged(first.agg(F.min("doc_id").alias("doc_id"), F.first("bitmap").alias("bitmap")), "sets")
 
     runs = plain.where("text is not null").select("text").mapInArrow(_runs(size, percent), "key long, n long, set_id long")
     chain = Window.partitionBy("key").orderBy("n", "set_id")
@@ -257,22 +282,20 @@ def jaccard_components(
         F.col("set_id").alias("a"), F.lag("set_id").over(chain).alias("b"), "n", F.lag("n").over(chain).alias("n_last")
     )
     near = strung.where((F.col("a") != F.col("b")) & (F.col("n") * percent <= F.col("n_last") * 100))
-    candidates = staged(connected(near.select("a", "b").distinct()), "candidates")
+    candidates = staged(connected(near.select("a", "b").distinct()), "candidates").withColumnRenamed("node", "set_id")
 
-    # Tiles are dealt on numbers alone. Then one text of each candidate set is read again for its elements, which are
-    # shuffled to their sets and on to the tiles; a bitmap keeps all other texts out.
-    first = sized.where("set_id is not null and doc_id is not null").groupBy("set_id", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc_id"))
-    members = candidates.join(first, candidates["node"] == first["set_id"]).select("doc_id", "set_id", "component", "n")
+    tiled = with_tiles(first.join(candidates, "set_id"), percent, tile_elements)
+    possible = _links(tiled.select("component", "set_id", "n", "bitmap", F.inline("tiles")), percent)
+    nearer = staged(connected(possible), "possible").withColumnRenamed("node", "set_id")
+
+    # Tiles are dealt on numbers alone. Then one text of each set left is read again for its elements, which are
+    # shuffled to their sets and on to the tiles; a bitmap of the documents wanted keeps all other texts out.
+    members = first.select("doc_id", "set_id", "n").join(nearer, "set_id")
     wanted = staged(with_tiles(members, percent, tile_elements).drop("n"), "wanted")
     marks = docs.sparkSession.sparkContext.broadcast(marks_of(wanted))
     sets = plain.where("doc_id is not null").mapInArrow(_elements(size, marks), "doc_id long, n long, elements binary")
-    links = (
-        sets.join(wanted, "doc_id")
-        .select("component", "set_id", "elements", F.inline("tiles"))
-        .groupBy("component", "t_band", "i", "j")
-        .applyInPandas(_tile(percent), "a long, b long")
-    )
-    joined = staged(connected(links), "joined")
+    tiled = sets.join(wanted, "doc_id").select("component", "set_id", "n", "elements", F.inline("tiles"))
+    joined = staged(connected(_links(tiled, percent)), "joined")
 
     home = sized.join(joined, sized["set_id"] == joined["node"], "left").withColumn("class", F.coalesce("component", "set_id"))
     lowest = home.where("set_id is not null").groupBy("class").agg(F.min("doc_id").alias("low"))
