@@ -30,12 +30,22 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[[root(x) for x in range(len(nodes))]]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's links become a star per component of the batch: never more rows, and mostly far fewer."""
-    for batch in batches:
-        nodes, low = union_find(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+def _contract(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Links become a star per component of up to `most` links of a task: never more rows, and mostly far fewer."""
+
+    def stars(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        nodes, low = union_find(*map(np.concatenate, zip(*held, strict=True)))
         keep = nodes != low
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(low[keep])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(low[keep])], names=["a", "b"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(a) for a, _ in held) >= most:
+            yield stars(held)
+            held = []
+    if held:
+        yield stars(held)
 
 
 def connected(links: DataFrame, rounds: int = 64) -> DataFrame:
