@@ -70,7 +70,7 @@ def _encode(source, table_words: int):
     return run
 
 
-def encode(docs: DataFrame, tokenizer_file: str, table_words: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_file: str, table_words: int = 200_000) -> DataFrame:
     """(doc_id, n_tokens, ids) for every row of `docs` (doc_id, text); ids are little-endian unsigned 32-bit numbers.
 
     The same ids as the library gives for the whole text without added special tokens; their strings in a text are

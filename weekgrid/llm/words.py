@@ -39,7 +39,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def chunks(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts as UTF-8 (null: empty), at most so many bytes together or one text, with the first one's place."""
     run: list[bytes] = []
     start = size = 0
