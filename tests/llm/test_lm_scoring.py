@@ -101,3 +101,16 @@ def test_most_frequent(spark):
     counts = spark.createDataFrame([(i, n) for i, n in enumerate([9, 7, 7, 5, 1, 1, 1])], "key long, n long")
     take = lambda rows, **o: sorted(r.key for r in most_frequent(counts, rows, **o).collect())
     assert take(1) == [0] and take(2) == [0] and take(3) == [0, 1, 2] and take(99) == list(range(7)) and take(0) == []
+
+
+@pytest.mark.parametrize("cached", [0, 40, 1_000_000])
+def test_nothing_is_cut_from_the_contexts(spark, cached):
+    """Runs that the cache lacks, and bytes of a script whose runs are all rare, have the chances of all training texts."""
+    common = [("banana bandana %d" % (i % 3),) for i in range(40)]
+    rare = [("漢字 abracadabra",), ("ñandú",), ("",), (None,), ("xylophone \x85 banana",)]
+    rows = [(i, *r) for i, r in enumerate(common + rare)] + [(100, "漢字 banana"), (101, "zzz ñandú é"), (102, "abra 字")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learned = [(t or "").encode() for d, t in rows if d < 100]
+    got = {r.doc_id: r.score for r in lm_scores(docs, F.col("doc_id") < 100, order=3, cached=cached, head=5).collect()}
+    for d, t in rows[38:]:
+        assert got[d] == pytest.approx(brute(learned, 3, (t or "").encode()), abs=1e-6)

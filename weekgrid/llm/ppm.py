@@ -46,13 +46,18 @@ def _own(raw: list[bytes], order: int) -> np.ndarray:
     return own
 
 
-def grams(raw: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct runs of `order` bytes and a symbol, as big-endian numbers, with their counts."""
+def codes(raw: list[bytes], order: int) -> np.ndarray:
+    """The runs of `order` bytes and a symbol, as big-endian numbers: one for each byte of a text and its end."""
     data, own = framed(raw, order).astype(np.uint64), _own(raw, order)
-    codes = np.zeros(len(data) - order, np.uint64)
+    out = np.zeros(max(0, len(data) - order), np.uint64)
     for j in range(order + 1):
-        codes = (codes << np.uint64(8)) | data[j : len(data) - order + j]
-    return np.unique(codes[own[order:]], return_counts=True)
+        out = (out << np.uint64(8)) | data[j : len(data) - order + j]
+    return out[own[order:]]
+
+
+def grams(raw: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs with their counts."""
+    return np.unique(codes(raw, order), return_counts=True)
 
 
 def train(codes: np.ndarray, counts: np.ndarray, order: int, max_contexts: int = 65_536) -> Model:
