@@ -8,7 +8,7 @@ import pytest
 from tests.llm.test_words import words
 from weekgrid.llm import sql
 from weekgrid.llm.components import connected
-from weekgrid.llm.jaccard_join import bitmap, compare, folded, jaccard_components, one_per_group, overlap, prefix_runs
+from weekgrid.llm.jaccard_join import bitmap, compare, folded, jaccard_components, jaccard_links, one_per_group, overlap, prefix_runs
 
 
 def shingles(text):
@@ -124,3 +124,19 @@ def test_components_of_chains(spark):
 def test_limits_below_80_are_refused(none):
     with pytest.raises(ValueError):
         jaccard_components(none, percent=79)
+
+
+@pytest.mark.parametrize("tile", [2_000_000, 300])
+def test_every_link_is_counted(odd, odd_rows, tile):
+    """In a group of near copies each document has its own number of links, not those of a spanning tree."""
+    base = [f"w{i}" for i in range(120)]
+    group = [(5000 + i, " ".join([*base[: 119 - 2 * i], f"x{i}", *base[120 - 2 * i :]])) for i in range(12)]
+    group += [(6000 + i, " ".join(base[: 120 - 6 * i])) for i in range(8)] + [(7000, " ".join(base)), (7000, " ".join(base))]
+    rows = [(d, t) for d, t, *_ in odd_rows] + group
+    docs = odd.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {d: shingles(t) for d, t in rows if d is not None}
+    linked = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    want = {d: sum(linked(s, t) for e, t in sets.items() if e != d) for d, s in sets.items()}
+    got = jaccard_links(docs, tile_elements=tile).collect()
+    assert len(got) == len(rows) and {r.n_links for r in got if r.doc_id is None} == {0}
+    assert {r.doc_id: r.n_links for r in got if r.doc_id is not None} == want and max(want.values()) > 10

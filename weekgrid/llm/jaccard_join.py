@@ -15,8 +15,9 @@ or more, given in hundredths and tested in whole numbers.
 3. *Bitmaps.* Every set has a bitmap of its hashed elements. Bits that only one bitmap has are elements that only one
    set has, so bit counts bound the overlap from above. The tiles first meet with bitmaps alone, a fortieth of the
    elements: sets without a possible link drop out, the others form smaller components and tiles anew.
-4. *Exact.* In those, elements are moved, and what the bound lets through is counted in the sorted arrays. Pairs that
-   are already connected are skipped, so a block of near copies costs about one comparison a set.
+4. *Exact.* In those, elements are moved, and every pair that the bound lets through is counted in the sorted arrays. A
+   pair of sets meets in one tile only. A tile gives a row a set: its links, weighed with the other set's documents, and
+   the set that stands for those it leads to; so links are counted whole and never a table of pairs.
 
 Nothing but the sets of possible links is moved with its elements. Hot shingles (passages in a third of all
 documents) make long chains of two numbers, not pairs. Copies go before the shuffle, once per task. Elements are 64-bit
@@ -180,19 +181,20 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 def compare(
     sizes: np.ndarray, maps: list[np.ndarray], side: np.ndarray, percent: int, within: bool = True, sets: list[np.ndarray] | None = None
-) -> list[tuple[int, int]]:
-    """Links among the sets of side 0 (if `within`) and between the sides, enough to connect all that these connect.
+) -> Iterator[tuple[int, int]]:
+    """All links among the sets of side 0 (if `within`) and between the sides.
 
-    Without the `sets` themselves, the links that their bitmaps allow.
+    Without the `sets` themselves: of the links that their bitmaps allow, enough to connect all that these connect.
     """
     order = np.argsort(sizes, kind="stable")
     sizes, side, maps = sizes[order], side[order], folded([maps[i] for i in order])
     group = np.arange(len(order))
-    found = []
     for i in range(len(order)):
         stop = int(np.searchsorted(sizes, 100 * sizes[i] // percent, "right"))
         others = np.arange(i + 1, stop)
-        others = others[(group[others] != group[i]) & ((side[others] != side[i]) | (within and side[i] == 0))]
+        others = others[(side[others] != side[i]) | (within and side[i] == 0)]
+        if sets is None:
+            others = others[group[others] != group[i]]
         if not len(others):
             continue
         need = -(-percent * (sizes[i] + sizes[others]) // (100 + percent))
@@ -202,28 +204,47 @@ def compare(
             sizes[others] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64),
         )
         for j, least in zip(others[most >= need].tolist(), need[most >= need].tolist(), strict=True):
-            if group[j] != group[i] and (sets is None or overlap(sets[order[i]], sets[order[j]]) >= least):
-                found.append((int(order[i]), int(order[j])))
+            if sets is not None:
+                if overlap(sets[order[i]], sets[order[j]]) >= least:
+                    yield int(order[i]), int(order[j])
+            elif group[j] != group[i]:
+                yield int(order[i]), int(order[j])
                 group[group == group[j]] = group[i]
-    return found
 
 
-def _tile(percent: int):
-    """Links in a tile of (set_id, side, n, and elements or a bitmap)."""
+def _possible(percent: int):
+    """Links that a tile's bitmaps (set_id, side, n, bitmap) allow."""
 
     def run(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
         _, _, i, j = key
-        sets = [np.frombuffer(e, np.uint64) for e in tile["elements"]] if "elements" in tile else None
-        maps = [np.frombuffer(m, np.uint64) for m in tile["bitmap"]] if sets is None else list(map(bitmap, sets))
+        maps = [np.frombuffer(m, np.uint64) for m in tile["bitmap"]]
         names = tile["set_id"].to_numpy()
-        links = compare(tile["n"].to_numpy(), maps, tile["side"].to_numpy(), percent, i == j, sets)
+        links = list(compare(tile["n"].to_numpy(), maps, tile["side"].to_numpy(), percent, i == j))
         return pd.DataFrame({"a": [names[i] for i, _ in links], "b": [names[j] for _, j in links]}, dtype="int64")
 
     return run
 
 
-def _links(tiled: DataFrame, percent: int) -> DataFrame:
-    return tiled.groupBy("component", "t_band", "i", "j").applyInPandas(_tile(percent), "a long, b long")
+def _exact(percent: int):
+    """Per set of a tile (set_id, side, n, copies, elements) with links: a set it leads to, and the documents it links with."""
+
+    def run(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
+        _, _, i, j = key
+        sets = [np.frombuffer(e, np.uint64) for e in tile["elements"]]
+        names, copies = tile["set_id"].to_numpy(), tile["copies"].to_numpy()
+        group, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+        for a, b in compare(tile["n"].to_numpy(), list(map(bitmap, sets)), tile["side"].to_numpy(), percent, i == j, sets):
+            links[a] += copies[b]
+            links[b] += copies[a]
+            if group[a] != group[b]:
+                group[group == group[b]] = group[a]
+        some = links > 0
+        return pd.DataFrame({"a": names[some], "b": names[group[some]], "links": links[some]}, dtype="int64")
+
+    return run
+
+
+_TILE = ("component", "t_band", "i", "j")
 
 
 def with_tiles(members: DataFrame, percent: int, tile_elements: int) -> DataFrame:
@@ -258,14 +279,15 @@ def with_tiles(members: DataFrame, percent: int, tile_elements: int) -> DataFram
     return placed.select(*members.columns, homes.alias("tiles")).where(F.size("tiles") > 0)
 
 
-def jaccard_components(
+def jaccard_links(
     docs: DataFrame, size: int = 5, percent: int = 80, tile_elements: int = 2_000_000
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text; other columns are not read).
+    """(doc_id, n_shingles, component_id, n_links) for every row of `docs` (doc_id, text; other columns are not read).
 
-    `component_id` is the smallest doc_id that links lead to, the document's own included. Null or wordless texts have
-    no shingles and only themselves; a row with a null doc_id takes part in no link and has a null component. Repeated
-    rows are copies and come out as often as they came in. `percent` is the limit in hundredths, from 80 to 100.
+    `component_id` is the smallest doc_id that links lead to, the document's own included; `n_links` counts the other
+    doc_ids whose text links with the document's own, copies among them. Null or wordless texts have no shingles and
+    only themselves; a row with a null doc_id takes part in no link and has a null component. Repeated rows are copies
+    and come out as often as they came in. `percent` is the limit in hundredths, from 80 to 100.
     """
     if not 80 <= percent <= 100:
         raise ValueError("the tiles are complete for limits from 80 to 100 hundredths")
@@ -275,6 +297,8 @@ def jaccard_components(
     # One document stands for a set; copies are gone after the partial aggregation of each task.
     first = sized.where("set_id is not null and doc_id is not null").groupBy("set_id", F.col("n_shingles").alias("n"))
     first = staged(first.agg(F.min("doc_id").alias("doc_id"), F.first("bitmap").alias("bitmap")), "sets")
+    copies = sized.where("set_id is not null and doc_id is not null").select("set_id", "doc_id").distinct()
+    copies = staged(copies.groupBy("set_id").agg(F.count("*").alias("copies")), "copies")
 
     runs = plain.where("text is not null").select("text").mapInArrow(_runs(size, percent), "key long, n long, set_id long")
     chain = Window.partitionBy("key").orderBy("n", "set_id")
@@ -285,25 +309,39 @@ def jaccard_components(
     candidates = staged(connected(near.select("a", "b").distinct()), "candidates").withColumnRenamed("node", "set_id")
 
     tiled = with_tiles(first.join(candidates, "set_id"), percent, tile_elements)
-    possible = _links(tiled.select("component", "set_id", "n", "bitmap", F.inline("tiles")), percent)
+    tiled = tiled.select("component", "set_id", "n", "bitmap", F.inline("tiles"))
+    possible = tiled.groupBy(*_TILE).applyInPandas(_possible(percent), "a long, b long")
     nearer = staged(connected(possible), "possible").withColumnRenamed("node", "set_id")
 
     # Tiles are dealt on numbers alone. Then one text of each set left is read again for its elements, which are
     # shuffled to their sets and on to the tiles; a bitmap of the documents wanted keeps all other texts out.
-    members = first.select("doc_id", "set_id", "n").join(nearer, "set_id")
+    members = first.select("doc_id", "set_id", "n").join(nearer, "set_id").join(copies, "set_id")
     wanted = staged(with_tiles(members, percent, tile_elements).drop("n"), "wanted")
     marks = docs.sparkSession.sparkContext.broadcast(marks_of(wanted))
     sets = plain.where("doc_id is not null").mapInArrow(_elements(size, marks), "doc_id long, n long, elements binary")
-    tiled = sets.join(wanted, "doc_id").select("component", "set_id", "n", "elements", F.inline("tiles"))
-    joined = staged(connected(_links(tiled, percent)), "joined")
-
-    home = sized.join(joined, sized["set_id"] == joined["node"], "left").withColumn("class", F.coalesce("component", "set_id"))
+    tiled = sets.join(wanted, "doc_id").select("component", "set_id", "n", "copies", "elements", F.inline("tiles"))
+    links = staged(tiled.groupBy(*_TILE).applyInPandas(_exact(percent), "a long, b long, links long"), "links")
+    joined = staged(connected(links.select("a", "b")), "joined")
+    known = joined.join(links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "node", "left")
+    known = copies.join(known.withColumnRenamed("node", "set_id"), "set_id", "left").where("component is not null or copies > 1")
+    known = known.select(F.col("set_id").alias("node"), "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+    home = sized.join(known, sized["set_id"] == known["node"], "left").withColumn("class", F.coalesce("component", "set_id"))
     lowest = home.where("set_id is not null").groupBy("class").agg(F.min("doc_id").alias("low"))
+    named = F.col("doc_id").isNotNull()
     return home.join(lowest, "class", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id")
+        "doc_id",
+        "n_shingles",
+        F.when(named, F.coalesce("low", "doc_id")).alias("component_id"),
+        F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"),
     )
 
 
+def jaccard_components(docs: DataFrame, **options: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of `jaccard_links`."""
+    return jaccard_links(docs, **options).drop("n_links")
+
+
 def one_per_group(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of `docs` that are the smallest document of their group; repeated rows of one doc_id are one document.
 
