@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekgrid.llm import bpe, jaccard_join, language_id, lm_scoring, mixing, quality_crf, quality_rules, sql, topk_search, toxicity, url_filter
+from weekgrid.llm import bpe, jaccard_join, language_id, lm_scoring, mixing, quality_crf, quality_rules, sql, token_counts, topk_search, toxicity, url_filter
 from weekgrid.llm.shared import held_out, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,11 +80,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", part("epoch"), part("block"), part("place"), *map(rounded, ("weight", "repetition", "alpha")))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_topk_search, op2_toxicity, op3_url_filter, op4_quality_crf, op5_language_id, op6_jaccard_join, op7_quality_rules,
-        op8_lm_scoring, op9_bpe, op10_mixing,
+        op8_lm_scoring, op9_bpe, op10_mixing, op13_token_counts,
     )
 }
 ORACLES: dict[str, str] = {
