@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekgrid.llm import bpe, jaccard_join, language_id, lm_scoring, mixing, quality_crf, quality_rules, sql, token_counts, topk_search, toxicity, url_filter, whitening
+from weekgrid.llm import bpe, jaccard_join, language_id, lm_scoring, mixing, quality_crf, quality_rules, sql, token_alignment, token_counts, topk_search, toxicity, url_filter, whitening
 from weekgrid.llm.shared import held_out, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", part("epoch"), part("block"), part("place"), *map(rounded, ("weight", "repetition", "alpha")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(table(spark, sf_dir, "documents"), *files)
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, offset=100_000)
 
@@ -92,8 +97,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_topk_search, op2_toxicity, op3_url_filter, op4_quality_crf, op5_language_id, op6_jaccard_join, op7_quality_rules,
-        op8_lm_scoring, op9_bpe, op10_mixing, op12_embedding_whitening,
-        op13_token_counts,
+        op8_lm_scoring, op9_bpe, op10_mixing, op11_token_alignment,
+        op12_embedding_whitening, op13_token_counts,
     )
 }
 ORACLES: dict[str, str] = {
