@@ -9,8 +9,11 @@ distinct piece once. A document is then a list of pieces, its records their pair
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekgrid.llm.memory import few_rows, lean
 from weekgrid.llm.pretokens import rules, tokenizer
 from weekgrid.llm.spill_count import RUN, contributions, counted, parts_of, runs, unpack
 from weekgrid.operators.staging import discard, staged
@@ -64,22 +68,6 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def _groups(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
-    """Slices (a from, a to, b from, b to) between the bytes where both end."""
-    out = []
-    i = j = a0 = b0 = 0
-    while i < len(a_ends) and j < len(b_ends):
-        if a_ends[i] == b_ends[j]:
-            out.append((a0, i + 1, b0, j + 1))
-            i, j = i + 1, j + 1
-            a0, b0 = i, j
-        elif a_ends[i] < b_ends[j]:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
 class Table:
     """Distinct pieces with what they add to a document."""
 
@@ -92,68 +80,155 @@ class Table:
             self._a_bytes[number] = bytes(letters.get(ch, 63) for ch in piece)
         named = lambda i: self._b.id_to_piece(i).replace("▁", " ").encode()
         self._b_bytes = [bytes([int(self._b.id_to_piece(i)[3:5], 16)]) if self._b.is_byte(i) else named(i) for i in range(self._b.vocab_size())]
+        self._a_size, self._b_size = list(map(len, self._a_bytes)), list(map(len, self._b_bytes))
+        self._names = list(map(str, range(max(len(self._a_bytes), len(self._b_bytes)))))
         self.second = self._b.vocab_size()
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.texts: list[str] = []
-        self.facts: list[tuple[int, int, int, int, bool]] = []
-        self._pairs: list[np.ndarray] = []
-        self._times: list[np.ndarray] = []
+        self.misfits: set[int] = set()
+        #: By piece: its A tokens, B tokens, groups and links.
+        self.facts = [array("q") for _ in range(4)]
+        self._pairs, self._times, self._ends = array("q"), array("q"), array("q")
 
     def add(self, words: list[str]) -> None:
         """Pieces, without the blank each begins with, that the table lacks."""
         coded = self._a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        for word, a, b in zip(words, (c.ids for c in coded), self._b.encode(words, num_threads=1), strict=True):
+        found = list(zip(words, [c.ids for c in coded], self._b.encode(words, num_threads=1), strict=True))
+        slow = self._align_many(found)
+        for word, a, b in slow:
             self.at[word] = len(self.texts)
             self._align(word, a, b)
 
+    def _align_many(self, found: list[tuple[str, list[int], list[int]]]) -> list[tuple[str, list[int], list[int]]]:
+        """Aligns the pieces side by side; those back that do not fit or have a group of very many links."""
+        sizes = [np.array([len(x[i]) for x in found], np.int64) for i in (1, 2)]
+        ids = [np.fromiter(chain.from_iterable(x[i] for x in found), np.int64, int(n.sum())) for i, n in zip((1, 2), sizes, strict=True)]
+        raw = [(" " + x[0]).encode() for x in found]
+        bytes_of = [b"".join(map(names.__getitem__, mine.tolist())) for names, mine in zip((self._a_bytes, self._b_bytes), ids, strict=True)]
+        ends = [np.cumsum(np.array(lengths)[mine]) for lengths, mine in zip((self._a_size, self._b_size), ids, strict=True)]
+        stops = np.cumsum([len(r) for r in raw])
+        at_stop = [e[np.cumsum(n) - 1] for e, n in zip(ends, sizes, strict=True)]
+        fits = (at_stop[0] == stops) & (at_stop[1] == stops)
+        if not fits.all() or not bytes_of[0] == bytes_of[1] == b"".join(raw):
+            if len(found) == 1:
+                return found
+            half = len(found) // 2  # a misfit moves all that follows it
+            return self._align_many(found[:half]) + self._align_many(found[half:])
+        both = np.intersect1d(*ends, assume_unique=True)
+        groups = [np.searchsorted(both, e) for e in ends]
+        many = [np.bincount(g, minlength=len(both)) for g in groups]
+        if (many[0] * many[1]).max() > 4_096:
+            if len(found) == 1:
+                return found
+            half = len(found) // 2
+            return self._align_many(found[:half]) + self._align_many(found[half:])
+        word_of = np.searchsorted(stops, both)
+        links = many[0] * many[1]
+        # Each A token meets its group's B tokens.
+        times = many[1][groups[0]]
+        first = (np.cumsum(many[1]) - many[1])[groups[0]]
+        other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+        pair = np.repeat(ids[0], times) * self.second + ids[1][other]
+        key, often = np.unique(np.repeat(word_of[groups[0]], times) << 40 | pair, return_counts=True)
+        held = np.bincount(key >> 40, minlength=len(found))
+        base = len(self._pairs)
+        self._pairs.frombytes((key & ((1 << 40) - 1)).tobytes())
+        self._times.frombytes(often.astype(np.int64).tobytes())
+        self._ends.frombytes((base + np.cumsum(held)).tobytes())
+        counts = (*sizes, np.bincount(word_of, minlength=len(found)), np.bincount(word_of, links, len(found)).astype(np.int64))
+        for facts, n in zip(self.facts, counts, strict=True):
+            facts.frombytes(n.astype(np.int64).tobytes())
+        # All tokens by group and side, each with the sign before it.
+        side = np.repeat([0, 1], [len(ids[0]), len(ids[1])])
+        group, token = np.concatenate(groups), np.concatenate(ids)
+        order = np.lexsort((side, group))
+        side, group, token = side[order], group[order], token[order]
+        sign = np.where(np.diff(side, prepend=0) > 0, 1, np.where(np.diff(group, prepend=-1) > 0, 2, 0))
+        sign[(sign == 2) & (np.diff(word_of[group], prepend=-1) > 0)] = 3
+        sign[0] = 4
+        signs = [",", "|", ";", " ", ""]
+        shown = "".join([signs[s] + self._names[t] for s, t in zip(sign.tolist(), token.tolist(), strict=True)])
+        start = len(self.texts)
+        self.texts += shown.split(" ")
+        self.at.update(zip([x[0] for x in found], range(start, len(self.texts)), strict=True))
+        return []
+
     def _align(self, word: str, a: list[int], b: list[int]) -> None:
-        a_raw, b_raw = [self._a_bytes[i] for i in a], [self._b_bytes[i] for i in b]
-        raw = (" " + word).encode()
-        fits = b"".join(a_raw) == raw == b"".join(b_raw)
+        raw = b"".join([self._a_bytes[i] for i in a])
         found: dict[int, int] = {}
-        shown = []
-        cuts = _groups(np.cumsum([len(x) for x in a_raw]).tolist(), np.cumsum([len(x) for x in b_raw]).tolist()) if fits else []
+        shown: list[str] = []
         links = 0
-        for a0, a1, b0, b1 in cuts:
-            mine, other = a[a0:a1], b[b0:b1]
-            shown.append(",".join(map(str, mine)) + "|" + ",".join(map(str, other)))
-            links += len(mine) * len(other)
-            if len(mine) * len(other) == 1:
-                key = mine[0] * self.second + other[0]
-                found[key] = found.get(key, 0) + 1
-                continue
-            # By distinct ids, as a long group holds some many times.
-            others = {y: other.count(y) for y in set(other)} if len(other) < 50 else dict(zip(*map(np.ndarray.tolist, np.unique(other, return_counts=True)), strict=True))
-            for x, n in zip(*map(np.ndarray.tolist, np.unique(mine, return_counts=True)), strict=True):
-                for y, m in others.items():
-                    key = x * self.second + y
-                    found[key] = found.get(key, 0) + n * m
+        if raw == b"".join([self._b_bytes[i] for i in b]) and raw == (" " + word).encode():
+            names = self._names
+            for mine, other in self._groups(a, b) if len(a) > 1 and len(b) > 1 else ((a, b),):
+                shown.append(",".join([names[x] for x in mine]) + "|" + ",".join([names[y] for y in other]))
+                links += len(mine) * len(other)
+                if len(mine) * len(other) <= 64:
+                    for x in mine:
+                        for y in other:
+                            key = x * self.second + y
+                            found[key] = found.get(key, 0) + 1
+                    continue
+                # By distinct ids, as a long group holds some many times.
+                others = Counter(other)
+                for x, n in Counter(mine).items():
+                    for y, m in others.items():
+                        key = x * self.second + y
+                        found[key] = found.get(key, 0) + n * m
+        else:
+            self.misfits.add(len(self.texts))
         self.texts.append(";".join(shown))
-        self.facts.append((len(a), len(b), len(cuts), links, fits))
-        self._pairs.append(np.fromiter(found.keys(), np.int64, len(found)))
-        self._times.append(np.fromiter(found.values(), np.int64, len(found)))
-
-    def records(self, docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pair, document, times) of documents given by their pieces, sorted by pair and document."""
-        lengths = [len(d) for d in docs]
-        if not sum(lengths):
-            return (np.empty(0, np.int64),) * 3
-        key = np.repeat(np.arange(len(docs), dtype=np.int64), lengths) << 32
-        key |= np.fromiter((p for d in docs for p in d), np.int64, sum(lengths))
+        for facts, n in zip(self.facts, (len(a), len(b), len(shown), links), strict=True):
+            facts.append(n)
+        self._pairs.extend(found.keys())
+        self._times.extend(found.values())
+        self._ends.append(len(self._pairs))
+
+    def _groups(self, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
+        """Tokens between the bytes where both end; both cover the same bytes."""
+        i = j = a0 = b0 = 0
+        a_end, b_end = self._a_size[a[0]], self._b_size[b[0]]
+        while True:
+            if a_end < b_end:
+                i += 1
+                a_end += self._a_size[a[i]]
+            elif b_end < a_end:
+                j += 1
+                b_end += self._b_size[b[j]]
+            else:
+                i, j = i + 1, j + 1
+                yield a[a0:i], b[b0:j]
+                if i == len(a):
+                    return
+                a0, b0 = i, j
+                a_end += self._a_size[a[i]]
+                b_end += self._b_size[b[j]]
+
+    def sums(self, pieces: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """The four facts of documents, given by their pieces one after the other and where each one's end."""
+        out = []
+        for facts in self.facts:
+            total = np.concatenate([[0], np.cumsum(np.array(facts, np.int64)[pieces])])
+            out.append(np.diff(total[ends], prepend=0))
+        return out
+
+    def records(self, pieces: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, document, times) of the documents, sorted by pair and document."""
+        key = np.repeat(np.arange(len(ends), dtype=np.int64), np.diff(ends, prepend=0)) << 32 | pieces
         key, often = np.unique(key, return_counts=True)
-        pieces, size = key & 0xFFFFFFFF, np.array([len(p) for p in self._pairs])
-        begins = np.cumsum(size) - size
-        many = size[pieces]
-        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begins[pieces], many)
-        pair = np.concatenate(self._pairs)[place] << 24 | np.repeat(key >> 32, many)
-        times = np.concatenate(self._times)[place] * np.repeat(often, many)
+        pieces, stops = key & 0xFFFFFFFF, np.array(self._ends, np.int64)
+        many = np.diff(stops, prepend=0)[pieces]
+        # Places of a piece's pairs end at its stop.
+        place = np.arange(many.sum()) + np.repeat(stops[pieces] - np.cumsum(many), many)
+        pair = np.array(self._pairs, np.int64)[place] << 24 | np.repeat(key >> 32, many)
+        times = np.array(self._times, np.int64)[place] * np.repeat(often, many)
         order = np.argsort(pair, kind="stable")
         pair, times = pair[order], times[order]
         first = np.flatnonzero(np.diff(pair, prepend=-1))
-        return pair[first] >> 24, pair[first] & 0xFFFFFF, np.add.reduceat(times, first)
+        return pair[first] >> 24, pair[first] & 0xFFFFFF, np.add.reduceat(times, first) if len(first) else times
 
 
 def _spill(pair, buckets: int, most_words: int, most_pieces: int, most_docs: int = 20_000):
@@ -162,17 +237,18 @@ def _spill(pair, buckets: int, most_words: int, most_pieces: int, most_docs: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(pair.value)
         flush = TaskContext.get().partitionId() << 32
-        ids, rows, docs, words = [], [], [], 0
+        ids, digests, docs, words = [], [], [], 0
 
         def written() -> pa.RecordBatch:
-            spilled = list(runs(*table.records(docs), table.second, buckets))
-            none, few = [None] * len(spilled), [None] * len(rows)
-            shown = list(zip(*rows, strict=True))
-            counts = [pa.array([*column, *none], pa.int64()) for column in shown[:4]]
+            pieces = np.fromiter(chain.from_iterable(docs), np.int64)
+            ends = np.cumsum([len(d) for d in docs])
+            spilled = list(runs(*table.records(pieces, ends), table.second, buckets))
+            none, few = [None] * len(spilled), [None] * len(docs)
+            counts = [pa.array([*column.tolist(), *none], pa.int64()) for column in table.sums(pieces, ends)]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([flush] * (len(rows) + len(spilled)), pa.int64()), pa.array([*range(len(rows)), *none], pa.int32()),
-                    pa.array([*ids, *none], pa.int64()), *counts, pa.array([*shown[4], *none], pa.string()),
+                    pa.array([flush] * (len(docs) + len(spilled)), pa.int64()), pa.array([*range(len(docs)), *none], pa.int32()),
+                    pa.array([*ids, *none], pa.int64()), *counts, pa.array([*digests, *none], pa.string()),
                     *(pa.array([*few, *(s[i] for s in spilled)], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))),
                 ],
                 names=["flush", "at", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "bucket", "heads", "body"],
@@ -188,7 +264,7 @@ def _spill(pair, buckets: int, most_words: int, most_pieces: int, most_docs: int
                 if docs and (words > most_words or len(table.at) + len(new) > most_pieces or len(docs) > most_docs):
                     yield written()
                     flush += 1
-                    ids, rows, docs, words = [], [], [], 0
+                    ids, digests, docs, words = [], [], [], 0
                     if len(table.at) + len(new) > most_pieces:
                         table.clear()
                         new = {w for ws in each for w in ws}
@@ -197,34 +273,30 @@ def _spill(pair, buckets: int, most_words: int, most_pieces: int, most_docs: int
                     table.add(new[i : i + 5_000])
                 for text, ws in zip(texts, each, strict=True):
                     pieces = [table.at[w] for w in ws]
-                    facts = [table.facts[p] for p in pieces]
-                    if pieces and not all(f[4] for f in facts) and len(pieces) > 1:
+                    if not table.misfits.isdisjoint(pieces):
                         # As a whole the text may still fit.
                         if text not in table.at:
                             table.add([text])
                         pieces = [table.at[text]]
-                        facts = [table.facts[pieces[0]]]
-                    if not pieces or not all(f[4] for f in facts):
-                        pieces, facts = [], []
-                    sums = [sum(f[i] for f in facts) for i in range(4)]
-                    digest = hashlib.sha256(";".join([table.texts[p] for p in pieces]).encode()).hexdigest() if pieces else ""
-                    rows.append((*sums, digest))
+                        if pieces[0] in table.misfits:
+                            pieces = []
+                    digests.append(hashlib.sha256(";".join(map(table.texts.__getitem__, pieces)).encode()).hexdigest() if pieces else "")
                     docs.append(pieces)
                     words += len(pieces)
                 ids += part.column("doc_id").to_pylist()
-        if rows:
+        if docs:
             yield written()
 
     return run
 
 
-def spilled(docs: DataFrame, pair: Pair, buckets: int = 64, most_words: int = 500_000, most_pieces: int = 150_000) -> DataFrame:
+def spilled(docs: DataFrame, pair: Pair, buckets: int = 64, most_words: int = 500_000, most_pieces: int = 300_000) -> DataFrame:
     """The documents' rows and their runs of records in one written table; `bucket` is null for documents."""
     if _processor(pair.b).vocab_size() * 2**16 >= 2**39:
         raise ValueError("vocabularies too large to pack a pair and a document in one number")
     source = docs.sparkSession.sparkContext.broadcast(pair)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = plain.mapInArrow(_spill(source, buckets, most_words, most_pieces), f"{_ROW}, bucket int, heads binary, body binary")
+    plain = few_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = plain.mapInArrow(lean(_spill(source, buckets, most_words, most_pieces)), f"{_ROW}, bucket int, heads binary, body binary")
     return staged(made, "alignment")
 
 
@@ -232,7 +304,7 @@ def _run_rows(table: DataFrame) -> DataFrame:
     return table.where("bucket is not null").select(*(p.split()[0] for p in RUN.split(", ")))
 
 
-def align(docs: DataFrame, a_file: str, b_file: str, buckets: int = 64, fan: int = 64, most_words: int = 500_000, most_pieces: int = 150_000) -> DataFrame:
+def align(docs: DataFrame, a_file: str, b_file: str, buckets: int = 64, fan: int = 64, most_words: int = 500_000, most_pieces: int = 300_000) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for every row of `docs` (doc_id, text).
 
     Special tokens' strings are plain text. A pair's count is the number of rows that hold it linked; n_best counts links whose
