@@ -181,11 +181,12 @@ def null_safe_match(left: DataFrame, right: DataFrame, keys: list[str]) -> Colum
 def touched_places(rows: DataFrame, previous: DataFrame, cells: DataFrame) -> DataFrame:
     """Keys of the cities with a row, or a previous place, in a touched cell."""
     now = rows.join(cells, "geohash4", "left_semi").select(*CITY)
-    before = _keyed(previous).join(cells, "geohash4", "left_semi").select(*CITY)
+    before = keyed(previous).join(cells, "geohash4", "left_semi").select(*CITY)
     return now.union(before).distinct()
 
 
-def _keyed(places: DataFrame) -> DataFrame:
+def keyed(places: DataFrame) -> DataFrame:
+    """Places with the key columns of their city."""
     return places.withColumns(
         {
             "city": F.coalesce("parent_label", "label"),
@@ -202,7 +203,7 @@ def refresh_places(previous: DataFrame, rows: DataFrame, cells: DataFrame) -> Da
     """
     hit = touched_places(rows, previous, cells)
     again = aggregated_places(rows.join(hit, null_safe_match(rows, hit, CITY), "left_semi"))
-    old = _keyed(previous)
+    old = keyed(previous)
     kept = old.join(hit, null_safe_match(old, hit, CITY), "left_anti")
     return kept.select(*PLACE).unionByName(again.select(*PLACE))
 

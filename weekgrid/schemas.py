@@ -19,6 +19,7 @@ MAX_TOOL_ROWS = 8
 ONLINE_LIMIT = 80
 TOP_CITIES, TOP_CELLS, TOP_ANOMALIES = 200, 400, 100
 ERROR_TEXT_MAX = 500
+ERRORS_SHOWN = 20
 STALE_RUN_MINUTES = 10
 
 # Enumerations.
@@ -80,6 +81,11 @@ RUNS = _struct(
     "id bigint, started_at timestamp, finished_at timestamp, feeds_ok int, feeds_fail int, "
     "meetings_upserted int, error_summary string, status string"
 )
+BATCHES = _struct(
+    "run_id bigint, stream string, batch_id bigint, feeds_processed bigint, feeds_ok bigint, feeds_fail bigint, "
+    "feeds_not_modified bigint, feeds_written bigint, meetings_upserted bigint, errors array<string>"
+)
+PENDING = _struct("kind string, geohash4 string, city string, state string, country string")
 GEOCODES = _struct("query string, lat double, lng double, cached_at timestamp")
 PLACES = _struct(
     "fingerprint string, city string, neighborhood string, state string, country string, "
