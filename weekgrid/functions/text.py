@@ -90,10 +90,21 @@ def search_fold(value: Column) -> Column:
     return squeeze(F.lower(fold_marks(value)))
 
 
-def slugify(value: Column) -> Column:
-    """ASCII slug of at most 80 characters."""
+def slug_text(value: Column) -> Column:
+    """ASCII slug of any length."""
     dashed = F.regexp_replace(fold_marks(F.lower(value)), "[^a-z0-9]+", "-")
-    return F.substring(F.btrim(dashed, F.lit("-")), 1, 80)
+    return F.btrim(dashed, F.lit("-"))
+
+
+def slugify(value: Column) -> Column:
+    """ASCII slug of at most 80 characters; for display and for names, not to tell rows apart."""
+    return F.substring(slug_text(value), 1, 80)
+
+
+def short_key(value: Column, most: int) -> Column:
+    """A key of at most `most` characters (24 or more): the value itself, or its head and a digest of all of it."""
+    tail = F.substring(F.sha2(value, 256), 1, 16)
+    return F.when(F.length(value) <= most, value).otherwise(F.concat(F.substring(value, 1, most - 17), F.lit("-"), tail))
 
 
 def alnum_slug(value: Column) -> Column:

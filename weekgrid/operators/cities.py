@@ -9,7 +9,9 @@ from weekgrid.functions.base import bind
 from weekgrid.functions.geo import haversine_km
 from weekgrid.functions.place import is_usable_city, normalize_country
 from weekgrid.functions.text import slugify
+from weekgrid.operators.dedupe import top_by
 from weekgrid.operators.predicates import city_matches
+from weekgrid.operators.versions import Change
 from weekgrid.schemas import SUGGESTION_RADIUS_KM
 
 c = F.col
@@ -40,6 +42,45 @@ def match_cities(cities: DataFrame, query: str, rows: int | None = None) -> Data
     return found.orderBy(*_order(query)).limit(rows or (QUERY_ROWS if query else EMPTY_QUERY_ROWS))
 
 
+def _prefixes(text: Column) -> Column:
+    """All beginnings of a text, of one letter up to the whole."""
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.substring(text, F.lit(1), n))
+
+
+def prefix_rows(cities: DataFrame) -> DataFrame:
+    """A row per place and beginning of its label or its parent's label, lower-cased, with the tier it is shown in."""
+    named = cities.withColumns({"_label": F.lower("label"), "_parent": F.lower(F.coalesce("parent_label", F.lit("")))})
+    every = F.array_distinct(F.concat(_prefixes(c("_label")), F.when(c("_parent") != "", _prefixes(c("_parent"))).otherwise(F.array().cast("array<string>"))))
+    rows = named.where(c("_label") != "").withColumn("prefix", F.explode(every))
+    tier = (
+        F.when(c("_label") == c("prefix"), 0)
+        .when(F.startswith("_label", c("prefix")), 1)
+        .when(c("_parent") == c("prefix"), 2)
+        .otherwise(3)
+    )
+    return rows.withColumn("tier", tier).drop("_label", "_parent")
+
+
+def prefix_table(cities: DataFrame, prefixes: DataFrame | None = None, rows: int = QUERY_ROWS) -> DataFrame:
+    """The best `rows` places for each beginning, with `rank`; for all of them, or for the given `prefixes` only.
+
+    A short beginning that a third of all places share is ranked in salted parts first, of which `rows` are left each.
+    """
+    found = prefix_rows(cities)
+    if prefixes is not None:
+        found = found.join(prefixes.select("prefix").distinct(), "prefix", "left_semi")
+    best = top_by(found, ["prefix"], rows, c("tier"), -c("meeting_count"), c("slug"))
+    return best.withColumnRenamed("_rank", "rank")
+
+
+def prefix_change(before: DataFrame, after: DataFrame) -> Change:
+    """What a change of the city index, from all places `before` to all places `after`, does to the stored table."""
+    keys = ["slug", "label", "parent_label", "meeting_count"]
+    changed = before.select(*keys).exceptAll(after.select(*keys)).unionByName(after.select(*keys).exceptAll(before.select(*keys)))
+    touched = prefix_rows(changed).select("prefix").distinct()
+    return Change(prefix_table(after, touched), touched)
+
+
 def _repeats(kept: Column, row: Column) -> Column:
     """Whether a kept suggestion is the same place nearby, or the same with label and state swapped.
 

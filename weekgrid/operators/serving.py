@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekgrid.functions.labels import as_fellowship
@@ -88,3 +88,38 @@ def online_page(
         .limit(limit)
     )
     return collapse_duplicates(with_entity(page, entities))
+
+
+#: The order of online pages; a listing's key at the end makes it total.
+ONLINE_ORDER = ("day", "time", "feed_id", "slug")
+
+
+def _known_last(name: str) -> Column:
+    """Order value of a column: nulls after everything else."""
+    return F.coalesce(c(name), F.lit(99) if name == "day" else F.lit("~"))
+
+
+def online_sorted(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Online and hybrid listings dealt by their order, so that a stored file holds a stretch of it.
+
+    File statistics of the two leading columns then let a page skip all files before it.
+    """
+    online = rows.where(c("attendance").isin("online", "hybrid")).withColumns({"day": _known_last("day"), "time": _known_last("time")})
+    order = [c(n) for n in ONLINE_ORDER]
+    dealt = online.repartitionByRange(partitions, *order) if partitions else online.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order)
+
+
+def online_after(rows: DataFrame, after: tuple[int, str, str, str] | None, limit: int = ONLINE_LIMIT) -> DataFrame:
+    """The next `limit` rows of `online_sorted` behind the last key of a page; the first page after None.
+
+    No row before the page is read, counted or carried, however deep the page lies. Days and times that are not known are
+    99 and '~' in a key, as in the rows.
+    """
+    if after is not None:
+        day, time, feed_id, slug = after
+        # The leading bound alone is what file statistics can judge.
+        later = (c("day") > day) | ((c("day") == day) & ((c("time") > time) | ((c("time") == time) & (
+            (c("feed_id") > feed_id) | ((c("feed_id") == feed_id) & (c("slug") > slug))))))
+        rows = rows.where((c("day") >= day) & later)
+    return rows.orderBy(*ONLINE_ORDER).limit(limit)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from weekgrid.functions import clock, html, notes, place, urls
 from weekgrid.functions.base import bind
 from weekgrid.functions.labels import as_feed_format, as_fellowship
+from weekgrid.functions.text import slugify
 from weekgrid.operators import clean, dedupe, feeds as feed_ops, predicates, sinks
 from weekgrid.plans.registry import query
-from weekgrid.plans.views import CTES, NOW, feeds, geohash4_sql, listings, slug_sql, table
+from weekgrid.plans.views import CTES, NOW, feeds, geohash4_sql, listings, short_key_sql, slug_sql, slug_text_sql, table
 from weekgrid.sources import dialects, envelope, pages
 
 c = F.col
@@ -69,7 +70,7 @@ tsml as (select feed_id, price, slug, name, cast(day as int) as day, time, end_t
     and length(coalesce(address, formatted_address)) - length(replace(coalesce(address, formatted_address), ',', '')) >= 1) then 'hybrid' else 'online' end as attendance,
   case when city <> 'online' then city when formatted_address is not null then 'City 39' else state end as city, country,
   {_TYPED.format("types")} as typed, lat, notes from lines where line % 3 = 0),
-bmlt as (select feed_id, price, {slug_sql("slug || '-' || name")}[:64] as slug, name, cast(day as int) as day, time, {_CLOCK.format(_MIN + " + 90")} as end_time,
+bmlt as (select feed_id, price, {short_key_sql(slug_text_sql("slug || '-' || name"), 64)} as slug, name, cast(day as int) as day, time, {_CLOCK.format(_MIN + " + 90")} as end_time,
   case when conference_url is not null then 'hybrid' else 'in-person' end as attendance, case when city <> 'online' then city end as city, country,
   {_TYPED.format("types")} as typed, lat, notes from lines where line % 3 = 1),
 oiaa as (select feed_id, price, slug, name, case when {_MIN} >= 300 then 1 else 0 end as day, {_CLOCK.format(_MIN + " + 1140")} as time,
@@ -290,7 +291,7 @@ select page_id, 'aa-abc-' || (page_id % 9) as id, 'North & ' || (page_id % 5) as
 union all select page_id, 'aa-zed-' || (page_id % 7), 'Zed ' || (page_id % 7), origin || '/intergroups/zed-' || (page_id % 7) || '/' from p"""
 )
 def intergroup_homes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "pages").selectExpr("page_id", "url as page_url", f"{_HOMES_HTML} as html")
+    rows = table(spark, sf, "pages").selectExpr("page_id", "url as page_url", f"concat(html, {_HOMES_HTML}) as html")
     return pages.intergroup_homes(rows, ["page_id"], url="page_url").select("page_id", "id", "name", "url")
 
 
@@ -302,7 +303,7 @@ union all select page_id, origin || '/intergroups/g' || (page_id % 9) || '/in-pe
 def list_links(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "pages").selectExpr(
         "page_id", "concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), '/intergroups/g', page_id % 9, '/') as url",
-        "concat('<a href=\"meetings/?x=1#y\">a</a><a class=z href=\"/intergroups/g', page_id % 9, '/in-person-meetings\">b</a>"
+        "concat(html, '<a href=\"meetings/?x=1#y\">a</a><a class=z href=\"/intergroups/g', page_id % 9, '/in-person-meetings\">b</a>"
         "<a href=\"/intergroups/g', page_id % 9, '/online-meetings/\">c</a><a href=\"/intergroups/other/meetings/\">d</a>') as html",
     )
     return pages.list_links(rows, ["page_id"])
@@ -335,21 +336,31 @@ def url_policy(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", urls.url_problem(c("made")).alias("problem"), urls.url_problem(c("url")).alias("own_problem"))
 
 
+_SEEDS_SQL = """with seeds as (select 'http://seed' || (s_suppkey % 60) || '.example.org/list' as canonical, arg_min(s_name, s_suppkey) as name,
+  case when min(s_suppkey) % 2 = 0 then 'GB' end as region_hint from supplier group by s_suppkey % 60),
+roots as (select 'https://root' || (s_suppkey % 40) || '.example.org/main_server/client_interface/json/?switcher=GetSearchResults' as canonical,
+  arg_min(s_name, s_suppkey) as name, 'US-TX' as region_hint from supplier group by s_suppkey % 40)"""
 _PATHS_SQL = """(values ('/wp-admin/admin-ajax.php?action=meetings'), ('/?tsml-feed=1'), ('/?post_type=tsml_meeting&feed=tsml'),
   ('/wp-json/tsml/v1/meetings'), ('/api/meetingguide'), ('/api/meetingguide.json'), ('/meetings.json')) t(path)"""
 
 
 @query(
-    rf"""with hosts as (select distinct regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\.', '') as host from pages)
-select 'https://' || host || path as canonical, host as name, 'US' as region_hint from hosts, {_PATHS_SQL}"""
+    _SEEDS_SQL + rf""", hosts as (select distinct regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\.', '') as host from pages)
+select canonical, name, region_hint from seeds union all select canonical, name, region_hint from roots
+union all select 'https://' || host || path, host, 'US' from hosts, {_PATHS_SQL}"""
 )
 def feed_candidates(spark: SparkSession, sf: str) -> DataFrame:
     hosts = table(spark, sf, "pages").select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host")).distinct()
-    none = table(spark, sf, "pages").where(F.lit(False)).select(
-        "url", F.lit("").alias("fellowship"), F.lit("").alias("format"), F.lit("").alias("id"), F.lit("").alias("name"),
-        F.lit("").alias("regionHint"), c("page_id").alias("pos"),
+    rows = table(spark, sf, "supplier")
+    seeds = rows.selectExpr(
+        "concat('http://www.Seed', s_suppkey % 60, '.example.org:80/list/') as url", "'aa' as fellowship", "'tsml' as format",
+        "concat('seed-', s_suppkey) as id", "s_name as name", "case when s_suppkey % 2 = 0 then 'GB' end as regionHint", "s_suppkey as pos",
     )
-    return feed_ops.candidates(none, none, hosts).select("canonical", "name", "region_hint")
+    roots = rows.selectExpr(
+        "concat('https://root', s_suppkey % 40, '.example.org/main_server/') as url", "concat('root-', s_suppkey) as id",
+        "s_name as name", "'US-TX' as regionHint", "s_suppkey as pos",
+    )
+    return feed_ops.candidates(seeds, roots, hosts).select("canonical", "name", "region_hint")
 
 
 @query(
@@ -608,20 +619,18 @@ def probe_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     r"""with live as (select page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\.', '') as host from pages)
-select count(*) as feeds, count(*) as ids, count(distinct host) as hosts from (select distinct host, page_id from live)"""
+select host, trim(regexp_replace(host, '[^a-z0-9]+', '-', 'g'), '-') || case when nth = 1 then '' else '-' || nth end as id
+from (select host, row_number() over (partition by host order by page_id) as nth from (select distinct host, page_id from live))"""
 )
 def discovered_feeds(spark: SparkSession, sf: str) -> DataFrame:
-    """Every page as a live feed under one id per host: each gets an id of its own."""
+    """Every page as a live feed of its host: which of a host's numbers a page gets follows no order, so ids go with the host."""
     host = F.regexp_replace(F.lower(F.regexp_extract("url", "^https?://([^/?#]+)", 1)), r"^www\.", "")
     live = table(spark, sf, "pages").select(
-        F.lit("same").alias("id"), F.concat(F.lit("https://"), host, F.lit("/feed/"), "page_id").alias("url"), host.alias("name"),
+        slugify(host).alias("id"), F.concat(F.lit("https://"), host, F.lit("/feed/"), "page_id").alias("url"), host.alias("name"),
         F.lit("US").alias("region_hint"), F.lit("aa").alias("fellowship"), F.lit("tsml").alias("format"),
     ).withColumn("resolved_url", c("url"))
     found = feed_ops.accept_discovered(live, feeds(spark, sf))
-    per_host = found.groupBy(F.regexp_extract("url", "^https://([^/]+)", 1).alias("host")).agg(
-        F.count("*").alias("n"), F.count_distinct("id").alias("ids")
-    )
-    return per_host.agg(F.sum("n").alias("feeds"), F.sum("ids").alias("ids"), F.count("*").alias("hosts"))
+    return found.select(F.regexp_extract("url", "^https://([^/]+)", 1).alias("host"), "id")
 
 
 @query(

@@ -221,7 +221,7 @@ def stale_first(spark: SparkSession, sf: str) -> DataFrame:
 _CATALOG_SQL = """, general as (select case when s_suppkey % 10 = 0 then concat('moved-', s_suppkey) else concat('feed-', s_suppkey) end as id,
   upper(s_name) as name, concat('http://feeds', s_suppkey % 50, '.example.org:80/list/', s_suppkey) as url, 'GB' as region_hint,
   case s_suppkey % 3 when 0 then 'na' else 'zz' end as fellowship, case s_suppkey % 5 when 0 then 'oiaa' else 'nope' end as format,
-  case when s_suppkey % 7 = 0 then 'disabled' end as status, s_suppkey % 9 = 0 as refresh, s_suppkey as pos from supplier where s_nationkey < 13),
+  case when s_suppkey % 7 = 0 then 'disabled' end as status, s_suppkey % 9 = 0 as refresh, s_suppkey as pos from supplier),
 federated as (select concat('root-', s_suppkey) as id, s_name as name, concat('https://www.Root', s_suppkey % 40, '.example.org/main_server',
   case when s_suppkey % 2 = 0 then '/' else '' end) as url, 'US' as region_hint, s_suppkey as pos from supplier),
 every as (select id, name, replace(replace(replace(url, 'http://www.', 'http://'), ':80/', '/'), 'x', 'x') as url, region_hint,
@@ -235,7 +235,7 @@ catalog as (select id, name, url, region_hint, fellowship, format, case when sta
 
 def _catalog(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "supplier")
-    general = rows.where("s_nationkey < 13").selectExpr(
+    general = rows.selectExpr(
         "case when s_suppkey % 10 = 0 then concat('moved-', s_suppkey) else concat('feed-', s_suppkey) end as id",
         "upper(s_name) as name", "concat('http://feeds', s_suppkey % 50, '.example.org:80/list/', s_suppkey) as url",
         "'GB' as regionHint", "case s_suppkey % 3 when 0 then 'na' else 'zz' end as fellowship",
@@ -402,11 +402,11 @@ def backfill_verified(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     CTES
     + "select coalesce(n.id, e.id) as id, coalesce(n.name, e.name) as name, coalesce(n.email, e.email) as email from "
-    "(select * from entities where phone is null) e full join (select id, 'New ' || name as name, 'x' as email from entities where location_text < 'City 3') n on n.id = e.id"
+    "entities e full join (select id, 'New ' || name as name, 'x' as email from entities where location_text < 'City 3') n on n.id = e.id"
 )
 def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
     rows = entities(spark, sf).select("id", "name", "email", "phone", "location_text")
-    old = rows.where(c("phone").isNull()).select("id", "name", "email")
+    old = rows.select("id", "name", "email")
     new = rows.where(c("location_text") < "City 3").select(
         "id", F.concat(F.lit("New "), "name").alias("name"), F.lit("x").alias("email")
     )
@@ -474,12 +474,12 @@ def first_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"select distinct lang, {slug_sql('source || lang')} as slug, trim(regexp_replace(lower(p_name), '[^[:alnum:]]+', '-', 'g'), '-') as part_slug "
-    "from documents join part on doc_id = p_partkey"
+    "from documents left join part on doc_id = p_partkey"
 )
 def slugs(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
     parts = table(spark, sf, "part").select(c("p_partkey").alias("doc_id"), "p_name")
-    return docs.join(parts, "doc_id").select(
+    return docs.join(parts, "doc_id", "left").select(
         "lang", slugify(F.concat("source", "lang")).alias("slug"), alnum_slug(c("p_name")).alias("part_slug")
     ).distinct()
 

@@ -13,6 +13,7 @@ from weekgrid.operators import coverage, dedupe, notes, predicates, rank, rollup
 from weekgrid.operators.staging import staged
 from weekgrid.plans.registry import query
 from weekgrid.plans.views import CTES, NOW, NOW_SQL, entities, feeds, haversine_sql, listings, slug_sql, table
+from weekgrid.schemas import SLICE_CAP
 
 c = F.col
 
@@ -592,24 +593,36 @@ def area_sets(spark: SparkSession, sf: str) -> DataFrame:
     return slices.area_sets(staged(_index(spark, sf), "cities"))
 
 
-_CAP = 40
-
-
-@query(
-    _AREA_SQL
-    + f""", keyed as (select m.cell, s.*, {_KEY_SQL.replace(chr(10), ' ')} as k, {_FULL_SQL} as filled from members m
+_SLICE_SQL = (
+    f""", keyed as (select m.cell, s.*, {_KEY_SQL.replace(chr(10), ' ')} as k, {_FULL_SQL} as filled from members m
   join safe s on s.feed_id = m.feed_id and s.slug = m.slug and s.price = m.price and s.updated_at = m.updated_at),
 kept as (select * from (select *, row_number() over (partition by cell, k order by filled desc, source_verified_at desc nulls last,
-  slug, feed_id) as rn from keyed) where rn = 1),
-capped as (select *, row_number() over (partition by cell order by feed_id, slug) as pos, count(*) over (partition by cell) as total from kept)
-select c.cell, c.feed_id, c.slug, coalesce(e.name, c.feed_name) as entity_name, total > {_CAP} as truncated
-from capped c left join entities e on e.id = c.entity_id where pos <= {_CAP}"""
+  slug, feed_id) as rn from keyed) where rn = 1)
+select c.cell, c.feed_id, c.slug, coalesce(e.name, c.feed_name) as entity_name from kept c left join entities e on e.id = c.entity_id"""
 )
+
+
+@query(_AREA_SQL + _SLICE_SQL)
 def slice_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Slice payloads for all cells at once, capped low so that the cap shows on small data."""
-    capped = slices.cap_slices(dedupe.collapse_duplicates(_members(spark, sf), within=("cell",)), _CAP)
-    rows = predicates.without_details(serving.with_entity(capped, entities(spark, sf)))
-    return rows.select("cell", "feed_id", "slug", "entity_name", "truncated")
+    """Every member of every slice, as `slices.slices` makes them."""
+    cities = staged(_index(spark, sf), "cities")
+    rows = slices.slices(listings(spark, sf), feeds(spark, sf), entities(spark, sf), cities, NOW)
+    return rows.select("cell", "feed_id", "slug", "entity_name")
+
+
+@query(
+    _AREA_SQL
+    + _SLICE_SQL.replace("select c.cell", "select count(*) over () > 1500 as truncated, c.cell")
+    + " where c.cell = (select geohash4 from safe where geohash4 is not null group by geohash4 order by count(*) desc, geohash4 limit 1) "
+    "order by c.feed_id, c.slug limit 1500"
+)
+def slice_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The slice of the fullest cell as a reader gets it: cut when read, with a flag where more was found."""
+    cell = _safe(spark, sf, "geohash4").where(c("geohash4").isNotNull()).groupBy(c("geohash4").alias("cell")).count()
+    cell = cell.orderBy(c("count").desc(), "cell").limit(1).select("cell")
+    cities = staged(_index(spark, sf), "cities")
+    rows = slices.slices(listings(spark, sf), feeds(spark, sf), entities(spark, sf), cities, NOW, cells=cell, cap=SLICE_CAP)
+    return rows.select("truncated", "cell", "feed_id", "slug", "entity_name")
 
 
 # --- note vectors --------------------------------------------------------------------------

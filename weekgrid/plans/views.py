@@ -189,8 +189,16 @@ def geohash4_sql(lat: str, lng: str) -> str:
     return f"(case when {lat} is not null and {lng} is not null then " + " || ".join(letters) + " end)"
 
 
+def slug_text_sql(value: str) -> str:
+    return f"trim(regexp_replace(strip_accents(lower({value})), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
 def slug_sql(value: str) -> str:
-    return f"substr(trim(regexp_replace(strip_accents(lower({value})), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80)"
+    return f"substr({slug_text_sql(value)}, 1, 80)"
+
+
+def short_key_sql(value: str, most: int) -> str:
+    return f"case when length({value}) <= {most} then {value} else substr({value}, 1, {most - 17}) || '-' || substr(sha256({value}), 1, 16) end"
 
 
 def haversine_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
