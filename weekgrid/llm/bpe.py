@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from weekgrid.llm.memory import few_rows, lean
 from weekgrid.llm.words import chunks
 
 
@@ -46,7 +48,7 @@ def _encode(source, table_words: int):
         tokenizer = _tokenizer(source.value)
         table: dict[bytes, bytes] = {}
         for batch in batches:
-            for start, raw in chunks(batch.column("text").to_pylist()):
+            for start, raw in chunks(batch.column("text").to_pylist(), 256_000):
                 # Letters A-Z lose their case later anyway; earlier only where nothing else can depend on it.
                 split = [(r.lower() if r.isascii() and b"<|" not in r else r).split() for r in raw]
                 new = list({w for words in split for w in words if w not in table})
@@ -70,7 +72,7 @@ def _encode(source, table_words: int):
     return run
 
 
-def encode(docs: DataFrame, tokenizer_file: str, table_words: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_file: str, table_words: int = 100_000) -> DataFrame:
     """(doc_id, n_tokens, ids) for every row of `docs` (doc_id, text); ids are little-endian unsigned 32-bit numbers.
 
     The same ids as the library gives for the whole text without added special tokens; their strings in a text are
@@ -79,8 +81,8 @@ def encode(docs: DataFrame, tokenizer_file: str, table_words: int = 200_000) ->
     """
     with open(tokenizer_file, encoding="utf-8") as file:
         source = docs.sparkSession.sparkContext.broadcast(file.read())
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return plain.mapInArrow(_encode(source, table_words), "doc_id long, n_tokens long, ids binary")
+    plain = few_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return plain.mapInArrow(lean(_encode(source, table_words)), "doc_id long, n_tokens long, ids binary")
 
 
 def _decode(source, keep: list[str], most: int = 1_000_000):
@@ -110,5 +112,5 @@ def decode(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
     """
     with open(tokenizer_file, encoding="utf-8") as file:
         source = encoded.sparkSession.sparkContext.broadcast(file.read())
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), "decoded string"])
-    return encoded.mapInArrow(_decode(source, encoded.columns), schema)
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
+    return few_rows(encoded).mapInArrow(lean(_decode(source, encoded.columns)), schema)

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekgrid.llm.components import connected
+from weekgrid.llm.memory import few_rows, lean
 from weekgrid.llm.words import chunks, mix, shingle_sets
 from weekgrid.operators.staging import staged
 
@@ -291,16 +292,16 @@ def jaccard_links(
     """
     if not 80 <= percent <= 100:
         raise ValueError("the tiles are complete for limits from 80 to 100 hundredths")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain = few_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, set_id long, bitmap binary"
-    sized = staged(plain.mapInArrow(_sizes(size), schema), "shingle-sizes")
+    sized = staged(plain.mapInArrow(lean(_sizes(size)), schema), "shingle-sizes")
     # One document stands for a set; copies are gone after the partial aggregation of each task.
     first = sized.where("set_id is not null and doc_id is not null").groupBy("set_id", F.col("n_shingles").alias("n"))
     first = staged(first.agg(F.min("doc_id").alias("doc_id"), F.first("bitmap").alias("bitmap")), "sets")
     copies = sized.where("set_id is not null and doc_id is not null").select("set_id", "doc_id").distinct()
     copies = staged(copies.groupBy("set_id").agg(F.count("*").alias("copies")), "copies")
 
-    runs = plain.where("text is not null").select("text").mapInArrow(_runs(size, percent), "key long, n long, set_id long")
+    runs = plain.where("text is not null").select("text").mapInArrow(lean(_runs(size, percent)), "key long, n long, set_id long")
     chain = Window.partitionBy("key").orderBy("n", "set_id")
     strung = runs.select(
         F.col("set_id").alias("a"), F.lag("set_id").over(chain).alias("b"), "n", F.lag("n").over(chain).alias("n_last")
@@ -318,7 +319,7 @@ def jaccard_links(
     members = first.select("doc_id", "set_id", "n").join(nearer, "set_id").join(copies, "set_id")
     wanted = staged(with_tiles(members, percent, tile_elements).drop("n"), "wanted")
     marks = docs.sparkSession.sparkContext.broadcast(marks_of(wanted))
-    sets = plain.where("doc_id is not null").mapInArrow(_elements(size, marks), "doc_id long, n long, elements binary")
+    sets = plain.where("doc_id is not null").mapInArrow(lean(_elements(size, marks)), "doc_id long, n long, elements binary")
     tiled = sets.join(wanted, "doc_id").select("component", "set_id", "n", "copies", "elements", F.inline("tiles"))
     links = staged(tiled.groupBy(*_TILE).applyInPandas(_exact(percent), "a long, b long, links long"), "links")
     joined = staged(connected(links.select("a", "b")), "joined")

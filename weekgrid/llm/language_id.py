@@ -17,7 +17,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from weekgrid.llm.memory import few_rows, lean
 from weekgrid.llm.words import chunks, mix
 
 UNKNOWN = "und"
@@ -137,14 +139,14 @@ def train(
     return Model(langs, logits.astype(np.float32), bias, temperature, limit)
 
 
-def _predict(model, bits: int, names: list[str], out: list[str] = ["lang_pred", "score", "accepted"]):  # noqa: B006
-    """Batches whose last column is the text; all other columns are handed on."""
+def _predict(model, bits: int, text: int, names: list[str], out: list[str] = ["lang_pred", "score", "accepted"]):  # noqa: B006
+    """Batches whose column at `text` is the text; the first columns, as many as `names`, are handed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for start, raw in chunks([t and t.lower() for t in batch.column(batch.num_columns - 1).to_pylist()]):
-                texts = batch.column(batch.num_columns - 1).slice(start, len(raw)).to_pylist()
+            for start, raw in chunks([t and t.lower() for t in batch.column(text).to_pylist()], 256_000):
+                texts = batch.column(text).slice(start, len(raw)).to_pylist()
                 lettered = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
                 if m.langs:
                     ids, owner = subwords(raw, bits)
@@ -192,17 +194,18 @@ def identify(docs: DataFrame, learn: Column, bits: int = 16, examples: int = 2_0
     doc_ids come out as they came in.
     """
     model = _model(docs, learn, bits, examples, reject_below)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return plain.mapInArrow(_predict(model, bits, ["doc_id"]), "doc_id long, lang_pred string, score double, accepted boolean")
+    plain = few_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return plain.mapInArrow(lean(_predict(model, bits, 1, ["doc_id"])), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def only_accepted(docs: DataFrame, learn: Column, bits: int = 16, examples: int = 2_000, reject_below: float | None = None) -> DataFrame:
     """The rows of `docs`, with all their columns, whose language is accepted; no join, so every row answers for itself."""
     model = _model(docs, learn, bits, examples, reject_below)
     names = docs.columns
-    carried = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)), F.col("text").alias("_text"))
-    inner = [f"_{i}" for i in range(len(names))]
-    fields = [f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)]
-    schema = ", ".join([*fields, "_lang string, _score double, _accepted boolean"])
-    judged = carried.mapInArrow(_predict(model, bits, inner, ["_lang", "_score", "_accepted"]), schema).where("_accepted")
+    carried = few_rows(docs).select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)))
+    schema = T.StructType(
+        [*carried.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_accepted", T.BooleanType())]
+    )
+    found = _predict(model, bits, names.index("text"), carried.columns, ["_lang", "_score", "_accepted"])
+    judged = carried.mapInArrow(lean(found), schema).where("_accepted")
     return judged.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))

@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from weekgrid.llm.memory import few_rows, lean
 from weekgrid.llm.shared import labelled
 from weekgrid.llm.words import LETTERS, chunks, mix, word_hashes
 
@@ -69,31 +71,30 @@ def ftrl(
     return places, rate(places), float(bias)
 
 
-def _score(weights, bits: int, out: str = "score"):
-    """Batches whose last column is the text; in its place comes the score."""
+def _score(weights, bits: int, text: int, keep: int, out: str = "score"):
+    """Batches whose column at `text` is the text; the first `keep` columns are handed on, then comes the score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, values, bias = weights.value
         table = np.zeros(1 << bits, np.float32)
         table[places] = values
         for batch in batches:
-            last = batch.num_columns - 1
-            for start, raw in chunks(batch.column(last).to_pylist()):
+            for start, raw in chunks(batch.column(text).to_pylist(), 256_000):
                 ids, owner = features(raw, bits)
                 some = np.flatnonzero(table[ids])
                 # A feature counts once a text.
                 pairs = np.unique(owner[some].astype(np.int64) << bits | ids[some])
                 sums = np.bincount(pairs >> bits, table[pairs & ((1 << bits) - 1)], len(raw)) + bias
                 scores = pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
-                kept = [batch.column(i).slice(start, len(raw)) for i in range(last)]
-                yield pa.RecordBatch.from_arrays([*kept, scores], names=[*batch.schema.names[:last], out])
+                kept = [batch.column(i).slice(start, len(raw)) for i in range(keep)]
+                yield pa.RecordBatch.from_arrays([*kept, scores], names=[*batch.schema.names[:keep], out])
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, bits: int = 20, per_class: int = 4_000):
     """Weights from at most `per_class` labelled documents of either class; without both classes only a bias."""
-    sample = labelled(docs, labels, "toxic", learn, per_class).mapInArrow(_examples(bits), "y int, ids array<int>").toArrow()
+    sample = labelled(docs, labels, "toxic", learn, per_class).mapInArrow(lean(_examples(bits)), "y int, ids array<int>").toArrow()
     pairs = zip(sample["y"].to_pylist(), (np.asarray(x) for x in sample["ids"].to_numpy()), strict=True)
     examples = sorted(pairs, key=lambda e: (e[0], len(e[1]), e[1].tobytes()))
     if len({y for y, _ in examples}) < 2:
@@ -108,8 +109,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, bits: int = 20,
     repeated doc_ids come out as they came in. Without toxic labels nothing is toxic.
     """
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, learn, bits, per_class))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = plain.mapInArrow(_score(weights, bits), "doc_id long, score double")
+    plain = few_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = plain.mapInArrow(lean(_score(weights, bits, 1, 1)), "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -117,7 +118,7 @@ def only_clean(docs: DataFrame, labels: DataFrame, learn: Column, bits: int = 20
     """The rows of `docs`, with all their columns, that are not predicted to be toxic; every row answers for itself."""
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, learn, bits, per_class))
     names = docs.columns
-    carried = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)), F.col("text").alias("_text"))
-    schema = ", ".join([*(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)), "_score double"])
-    judged = carried.mapInArrow(_score(weights, bits, "_score"), schema).where("_score < 0.5")
+    carried = few_rows(docs).select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)))
+    schema = T.StructType([*carried.schema.fields, T.StructField("_score", T.DoubleType())])
+    judged = carried.mapInArrow(lean(_score(weights, bits, names.index("text"), len(names), "_score")), schema).where("_score < 0.5")
     return judged.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))
