@@ -137,6 +137,17 @@ def test_urls(spark):
     assert url_filter.url_verdicts(pages.limit(0), RULES, labelled_urls).collect() == []
 
 
+def test_hosts_that_no_example_names(spark):
+    junk = ["casino-win", "free-bets", "cheap-pills", "adult-x", "mega-casino", "pills-now", "bet-kings", "loans-fast"]
+    plain = ["village-library", "daily-gazette", "old-museum", "river-council", "thther", "botanic-garden", "night-school", "choir-society"]
+    assert not any(h in url for url, _ in url_filter.EXAMPLES for h in (*junk, "thther", "ads-track", "spam-farm"))
+    pages = spark.createDataFrame([(i, f"https://{h}.example.com/en/{i}") for i, h in enumerate([*junk, *plain])], "page_id long, url string")
+    labelled_urls = spark.createDataFrame(url_filter.EXAMPLES, "url string, block int")
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages, [], labelled_urls).collect()}
+    right = sum(got[i] == ("block" if i < len(junk) else "allow") for i in got)
+    assert right >= 14, got
+
+
 @pytest.mark.parametrize("lengths", [[1], [3, 1, 7], [1, 1, 1, 5]])
 def test_marginals_by_enumeration(lengths):
     import itertools
