@@ -28,9 +28,10 @@ reach as (
     union
     select reach.a, links.b from reach join links on reach.b = links.a
 ),
-lows as (select a, min(b) as low from reach group by a)
-select d.doc_id, coalesce(sizes.n, 0) as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id
-from documents d left join sizes on sizes.doc_id = d.doc_id left join lows on lows.a = d.doc_id
+lows as (select a, min(b) as low from reach group by a),
+degrees as (select a, count(distinct b) as n_links from links group by a)
+select d.doc_id, coalesce(sizes.n, 0) as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id, coalesce(n_links, 0) as n_links
+from documents d left join sizes on sizes.doc_id = d.doc_id left join lows on lows.a = d.doc_id left join degrees on degrees.a = d.doc_id
 """
 
 TOPK_SEARCH = """
