@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekgrid.llm import context_table, ppm
+from weekgrid.llm.memory import few_rows, lean, release
 from weekgrid.llm.words import chunks, word_hashes
 from weekgrid.operators.staging import staged
 
@@ -141,7 +142,7 @@ def most_frequent(counts: DataFrame, rows: int, fine: int = 100_000, also: tuple
 
 
 def lm_scores(
-    docs: DataFrame, learn: Column, order: int = 5, cached: int = 1_048_576, head: int = 200_000
+    docs: DataFrame, learn: Column, order: int = 5, cached: int = 262_144, head: int = 100_000
 ) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -151,10 +152,10 @@ def lm_scores(
     to learn from, every byte has an even chance and every token of the base line a chance of 1.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    plain = few_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     counts = staged(
         plain.select("text", "learn")
-        .mapInArrow(_count(order), "kind int, key long, n long, m long")
+        .mapInArrow(lean(_count(order)), "kind int, key long, n long, m long")
         .groupBy("kind", "key")
         .agg(F.sum("n").alias("n"), F.sum("m").alias("m")),
         "lm-counts",
@@ -172,10 +173,12 @@ def lm_scores(
     top = most_frequent(words, head).toArrow()
     known = _sorted_cache(top["key"].to_numpy(), np.log10(top["n"].to_numpy() + 1.0))
     cache, frequent = spark.sparkContext.broadcast(runs), spark.sparkContext.broadcast(known)
+    del top, runs, known
+    release()
 
     scored = staged(
         plain.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
-            _score(order, cache, frequent),
+            lean(_score(order, cache, frequent)),
             "row long, doc_id long, n_tokens long, head_known long, head_gain double, head_score double, words array<long>, runs array<long>",
         ),
         "lm-scores",
