@@ -30,6 +30,32 @@ def test_rules_on_the_table(spark, sf):
     same_as_sql(queries.op10_mixing(spark, sf), db, sql.MIXING)
 
 
+@pytest.mark.parametrize("most", [0, 1, 2])
+def test_common_lines_leave_the_texts(spark, odd, none, most):
+    import re
+    from collections import defaultdict
+
+    rows = [
+        (1, "Keep me one\nAll rights Reserved 2001\n\n  tail ", "a", 7), (2, "ALL  rights\treserved 1999\nkeep two", "a", 7),
+        (3, "all rights reserved 5", "a", 7), (4, "all rights reserved 5", "b", 7), (5, None, "a", 7), (6, "", None, 7), (3, "all rights reserved 5", "a", 7),
+        (8, "keep two", None, 7), (9, "x\nkeep two", None, 7), (10, "keep two\ny", None, 7),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, line int").repartition(3)
+    normal = lambda line: re.sub("[0-9]+", "0", " ".join(w for w in re.split("[ \t\n\x0b\x0c\r]+", line.lower()) if w))
+    seen = defaultdict(set)
+    for _, text, source, _ in rows:
+        for line in (text or "").split("\n"):
+            if normal(line):
+                seen[source, normal(line)].add(text)
+    clean = lambda text, source: text and "\n".join(x for x in text.split("\n") if not normal(x) or len(seen[source, normal(x)]) <= most)
+    got = quality_rules.without_common_lines(docs, most)
+    assert got.columns == docs.columns
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str((i, clean(t, s), s, n)) for i, t, s, n in rows)
+    assert quality_rules.without_common_lines(odd, 1).count() == odd.count() and quality_rules.without_common_lines(none).collect() == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
 def test_rules_empty(none):
     assert quality_rules.quality_rules(none).collect() == []
 
