@@ -17,9 +17,9 @@ HEADLINE = (
 
 
 def seconds(spark, name: str, sf: str) -> float:
-    """One warm-up run and one timed run (BENCH_RUNS more for a median), every column computed."""
+    """The median of BENCH_RUNS timed runs after one warm-up run, every column computed."""
     times = []
-    for _ in range(1 + int(os.environ.get("BENCH_RUNS", "1"))):
+    for _ in range(1 + int(os.environ.get("BENCH_RUNS", "3"))):
         start = time.perf_counter()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         times.append(time.perf_counter() - start)

@@ -17,7 +17,7 @@ CHECKED = (
     "online_page", "vector_plan", "catalog_merge", "json_route", "geocode_completion", "simple_city_rollup", "slice_rows",
     "print_pages", "mapping_anomalies", "geocode_queries", "slice_cells", "keyword_documents", "slugs", "feed_candidates",
     "discovered_feeds", "vector_topk_many", "city_prefixes", "online_after", "rank_saved", "feed_replace", "vector_apply",
-    "catalog_seed", "ingest_run", "slice_read", "region_hints", "place_keys", "listing_days", "list_payload", "rebuild_plans",
+    "slice_read", "region_hints", "place_keys", "listing_days", "list_payload", "rebuild_plans",
 )
 
 
