@@ -57,7 +57,9 @@ def connected(links: DataFrame, rounds: int = 64) -> DataFrame:
     """
     spark = links.sparkSession
     given = staged(links.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna(), "links")
-    edges = given.where("a <> b").mapInArrow(_contract, "a long, b long").distinct()
+    # A task leaves a star of each component it meets; dealt by node and contracted again, hardly more links than nodes are left.
+    stars = given.where("a <> b").mapInArrow(_contract, "a long, b long").distinct()
+    edges = stars.repartition("a").mapInArrow(_contract, "a long, b long").distinct()
     table, before = staged(edges, "stars"), None
     for _ in range(rounds):
         state = table.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
