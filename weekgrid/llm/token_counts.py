@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekgrid.llm.lm_scoring import most_frequent
+from weekgrid.llm.memory import few_rows, lean
 from weekgrid.llm.pretokens import Cutter, Rules, rules, tokenizer
 from weekgrid.operators.staging import staged
 
@@ -32,7 +33,7 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int =
             yield part, part.column(column).to_pylist()
 
 
-def _distinct(rules: Rules, most: int = 300_000):
+def _distinct(rules: Rules, most: int = 200_000):
     """(key, n): the pre-tokens of a task's texts with their counts, handed on whenever there are `most` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,7 @@ def _count(source):
     return run
 
 
-def _sum(rules: Rules, head, most: int = 300_000):
+def _sum(rules: Rules, head, most: int = 200_000):
     """(row, doc_id, n_bytes, tokens, open, times): sums over what the broadcast table knows, and the frequencies left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,12 +138,12 @@ def distinct_pretokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     with open(tokenizer_file, encoding="utf-8") as file:
         how = rules(file.read())
     source = docs.sparkSession.sparkContext.broadcast(how)
-    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).where("text <> ''").mapInArrow(_distinct(how), "key string, n long")
+    found = few_rows(docs).select(F.coalesce("text", F.lit("")).alias("text")).where("text <> ''").mapInArrow(lean(_distinct(how)), "key string, n long")
     each = found.groupBy("key").agg(F.sum("n").alias("n"))
-    return each.mapInArrow(_count(source), "key string, pieces long, n long")
+    return each.mapInArrow(lean(_count(source)), "key string, pieces long, n long")
 
 
-def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 1024, head: int = 500_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 1024, head: int = 200_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of `docs` (doc_id, text); other columns are not looked at.
 
     The number of tokens that the library's tokenizer gives for the whole text without added special tokens; their
@@ -160,7 +161,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 1024, head:
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("n_bytes", F.octet_length("text").cast("long"))
     schema = "row long, doc_id long, n_bytes long, tokens long, open array<string>, times array<long>"
-    summed = staged(plain.mapInArrow(_sum(how, known), schema), "token-sums")
+    summed = staged(plain.mapInArrow(lean(_sum(how, known)), schema), "token-sums")
     left = summed.select("row", F.explode(F.arrays_zip("open", "times")).alias("one"))
     left = left.select("row", F.col("one.open").alias("key"), F.col("one.times").alias("times"))
     rest = left.join(table.select("key", "pieces"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
