@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_words import words
-from weekgrid.llm import sql
+from weekgrid.llm import components, sql
 from weekgrid.llm.components import connected
-from weekgrid.llm.jaccard_join import bitmap, compare, folded, jaccard_components, jaccard_links, one_per_group, overlap, prefix_runs
+from weekgrid.llm.jaccard_join import bitmap, compare, folded, heads, jaccard_components, jaccard_links, one_per_group, overlap, place_of, prefix_runs
 
 
 def shingles(text):
@@ -121,6 +122,27 @@ def test_components_of_chains(spark):
     assert {r.node: r.component for r in got.collect()} == want
 
 
+def test_leaves_of_hubs_wait_for_the_rounds(spark, monkeypatch):
+    """A hub's links go through no round's joins; the ends of a path and lone pairs come out right."""
+    rows, plain = [], components.staged
+    monkeypatch.setattr(components, "staged", lambda df, label: (out := plain(df, label), rows.append((label, out.count())))[0])
+    links = [(1, i) for i in range(10, 2000)] + [(i, i + 1) for i in range(3000, 3030)] + [(5000, 4000), (1999, 2), (7, 7)]
+    got = connected(spark.createDataFrame(links, "a long, b long").repartition(7))
+    want = {i: 1 for i in (1, 2, *range(10, 2000))} | {i: 3000 for i in range(3000, 3031)} | {4000: 4000, 5000: 4000, 7: 7}
+    assert {r.node: r.component for r in got.collect()} == want
+    assert max(n for label, n in rows if label == "stars") < 100
+
+
+def test_a_key_leads_to_the_first_of_its_sizes(spark):
+    """One link a set, to the smallest of its segment; a gap of more than 1/s begins a new one."""
+    sets = [(1, n, 10_000 + n) for n in range(100, 200)] + [(1, n, 10_000 + n) for n in (251, 300, 300)] + [(2, 100, 10_100), (3, 7, 5), (3, 9, 5)]
+    frame = spark.createDataFrame(sets, "key long, n long, set_id long")
+    place = place_of(F.col("n"), F.col("set_id"))
+    at = {(r.n, r.set_id): r.place for r in frame.select("n", "set_id", place.alias("place")).collect()}
+    got = sorted(map(tuple, heads(frame.select("key", place.alias("place")).repartition(5), 80).collect()))
+    assert got == sorted([(at[n, 10_000 + n], at[100, 10_100]) for n in range(101, 200)] + [(at[300, 10_300], at[251, 10_251])])
+
+
 def test_limits_below_80_are_refused(none):
     with pytest.raises(ValueError):
         jaccard_components(none, percent=79)

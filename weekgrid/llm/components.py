@@ -51,19 +51,25 @@ def _contract(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterato
 def connected(links: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, component): every node of `links` (long columns a, b) with the smallest node it reaches.
 
-    Links of a node with itself keep it as a component of its own; nulls are no links. Each round runs a large star
-    and a small star over the links left, written to the shared folder; the number of rounds grows with the
-    logarithm of the longest path. Only a count and a checksum of a round's links come to the driver.
+    Links of a node with itself keep it as a component of its own; nulls are no links. Nodes that hang on a single
+    smaller one wait for its component. Each round runs a large star and a small star over the links left, written to
+    the shared folder; the number of rounds grows with the logarithm of the longest path. Only a count and a checksum of
+    a round's links come to the driver.
     """
     spark = links.sparkSession
     given = staged(links.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna(), "links")
     # A task leaves a star of each component it meets; dealt by node and contracted again, hardly more links than nodes are left.
     stars = given.where("a <> b").mapInArrow(_contract, "a long, b long").distinct()
     edges = stars.repartition("a").mapInArrow(_contract, "a long, b long").distinct()
-    table, before = staged(edges, "stars"), None
+    edges = staged(edges, "edges")
+    # Per node its links (as the larger end, at most one from each task) and how often it is met at either end.
+    ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.lit(None).cast("long").alias("b")))
+    ends = staged(ends.groupBy("a").agg(F.count("*").alias("met"), F.collect_list("b").alias("lows")), "ends")
+    leaves = ends.where((F.col("met") == 1) & (F.size("lows") == 1)).select("a", F.col("lows")[0].alias("b"))
+    table, before = staged(ends.where("met > 1").select("a", F.explode("lows").alias("b")), "stars"), None
     for _ in range(rounds):
         state = table.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
         both = table.unionByName(table.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -76,5 +82,7 @@ def connected(links: DataFrame, rounds: int = 64) -> DataFrame:
     else:
         raise RuntimeError(f"links did not settle in {rounds} rounds")
     lows = table.groupBy("a").agg(F.min("b").alias("low"))
+    hung = leaves.join(lows.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("low", "b").alias("low"))
+    lows = lows.unionByName(hung)
     nodes = given.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return nodes.join(lows, nodes["node"] == lows["a"], "left").select("node", F.coalesce("low", "node").alias("component"))

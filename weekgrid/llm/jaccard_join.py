@@ -9,8 +9,8 @@ or more, given in hundredths and tested in whole numbers.
    at most a+b+1 runs, and t - a >= a+b+2: two neighbours of the order are common and have nothing between them. The same
    holds for B, and of the two prefixes the one that ends first lies inside the other. So linked sets share a pair of
    neighbours within both prefixes. Sets that share one, in the order of their sizes and cut where a size is more than
-   1/s times the one before, are strung on a chain; the chains' components are small, and no link leaves one. A
-   component's sets fall into size bands of the ratio 1/s, and large bands into blocks; a tile compares a block with
+   1/s times the one before, form segments, and each set leads to the first of its segment; the segments' components
+   are small, and no link leaves one. A component's sets fall into size bands of the ratio 1/s, and large bands into blocks; a tile compares a block with
    itself, a later block of its band or a block of the next band.
 3. *Bitmaps.* Every set has a bitmap of its hashed elements. Bits that only one bitmap has are elements that only one
    set has, so bit counts bound the overlap from above. The tiles first meet with bitmaps alone, a fortieth of the
@@ -20,7 +20,7 @@ or more, given in hundredths and tested in whole numbers.
    the set that stands for those it leads to; so links are counted whole and never a table of pairs.
 
 Nothing but the sets of possible links is moved with its elements. Hot shingles (passages in a third of all
-documents) make long chains of two numbers, not pairs. Copies go before the shuffle, once per task. Elements are 64-bit
+documents) make long segments, a row of two numbers a set, not pairs. Copies go before the shuffle, once per task. Elements are 64-bit
 hashes; sets are taken as equal when size and 64-bit set hash agree.
 """
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekgrid.llm.components import connected
@@ -94,27 +94,33 @@ def prefix_runs(elements: np.ndarray, percent: int) -> np.ndarray:
     return mix(elements[: t - 1] * _PAIR + elements[1:t])
 
 
+_NAME_BITS, _MOST = 40, (1 << 23) - 1
+
+
+def place_of(n: Column, set_id: Column) -> Column:
+    """A set's size and 40 bits of its hash in one long, by size first; sets that share one only share a component."""
+    low = set_id.bitwiseAND(F.lit((1 << _NAME_BITS) - 1))
+    return F.shiftleft(F.least(n.cast("long"), F.lit(_MOST).cast("long")), _NAME_BITS).bitwiseOR(low)
+
+
 def _runs(size: int, percent: int):
+    """(key, place) of every set's prefix runs; `place` as in `place_of`, for two numbers a row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, _, sets in _sets(batches, size):
-            keys, names, sizes = [], [], []
+            keys, places = [], []
             for s in sets:
                 if not len(s) or (name := set_id(s)) in seen:
                     continue
                 seen.add(name)
                 keys.append(prefix_runs(s, percent))
-                names.append(name)
-                sizes.append(len(s))
+                places.append(min(len(s), _MOST) << _NAME_BITS | name & ((1 << _NAME_BITS) - 1))
             if keys:
                 times = [len(k) for k in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(keys).view(np.int64)),
-                        pa.array(np.repeat(np.array(sizes, np.int64), times)),
-                        pa.array(np.repeat(np.array(names, np.int64), times)),
-                    ],
-                    names=["key", "n", "set_id"],
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(places, np.int64), times))],
+                    names=["key", "place"],
                 )
 
     return run
@@ -280,6 +286,16 @@ def with_tiles(members: DataFrame, percent: int, tile_elements: int) -> DataFram
     return placed.select(*members.columns, homes.alias("tiles")).where(F.size("tiles") > 0)
 
 
+def heads(runs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for every key of `runs` (key, place), each place with the first of its segment of sizes without a gap."""
+    chain = Window.partitionBy("key").orderBy("place")
+    n = F.shiftright("place", _NAME_BITS)
+    apart = F.coalesce(n * percent > F.lag(n).over(chain) * 100, F.lit(True))
+    first = F.last(F.when(F.col("apart"), F.col("place")), ignorenulls=True).over(chain)
+    led = runs.select("key", "place", apart.alias("apart")).select(F.col("place").alias("a"), first.alias("b"))
+    return led.where("a <> b").distinct()
+
+
 def jaccard_links(
     docs: DataFrame, size: int = 5, percent: int = 80, tile_elements: int = 2_000_000
 ) -> DataFrame:
@@ -301,15 +317,11 @@ def jaccard_links(
     copies = sized.where("set_id is not null and doc_id is not null").select("set_id", "doc_id").distinct()
     copies = staged(copies.groupBy("set_id").agg(F.count("*").alias("copies")), "copies")
 
-    runs = plain.where("text is not null").select("text").mapInArrow(lean(_runs(size, percent)), "key long, n long, set_id long")
-    chain = Window.partitionBy("key").orderBy("n", "set_id")
-    strung = runs.select(
-        F.col("set_id").alias("a"), F.lag("set_id").over(chain).alias("b"), "n", F.lag("n").over(chain).alias("n_last")
-    )
-    near = strung.where((F.col("a") != F.col("b")) & (F.col("n") * percent <= F.col("n_last") * 100))
-    candidates = staged(connected(near.select("a", "b").distinct()), "candidates").withColumnRenamed("node", "set_id")
+    runs = plain.where("text is not null").select("text").mapInArrow(lean(_runs(size, percent)), "key long, place long")
+    candidates = staged(connected(heads(runs, percent)), "candidates").withColumnRenamed("node", "place")
+    candidates = first.withColumn("place", place_of(F.col("n"), F.col("set_id"))).join(candidates, "place").drop("place")
 
-    tiled = with_tiles(first.join(candidates, "set_id"), percent, tile_elements)
+    tiled = with_tiles(candidates, percent, tile_elements)
     tiled = tiled.select("component", "set_id", "n", "bitmap", F.inline("tiles"))
     possible = tiled.groupBy(*_TILE).applyInPandas(_possible(percent), "a long, b long")
     nearer = staged(connected(possible), "possible").withColumnRenamed("node", "set_id")
