@@ -56,6 +56,20 @@ def test_common_lines_leave_the_texts(spark, odd, none, most):
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
 
 
+def test_verdicts_come_from_the_texts_that_are_left(spark, odd, monkeypatch):
+    """The operator gives the texts without common lines, and the counts follow what has left them."""
+    long = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{long}\n\nShared line 1", "a"), (2, "shared  LINE 22\nnine more words to make this text long enough here", "a"), (3, "shared line 3", "b"), (4, None, "a"), (5, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.removed_words, r.kept) for r in quality_rules.cleaned(docs, 1).collect()}
+    assert got == {1: (f"{long}\n", 3, True), 2: (rows[1][1].split("\n")[1], 3, True), 3: ("shared line 3", 0, False), 4: (None, 0, False), 5: ("", 0, False)}
+    apart = lambda frame: sorted(map(str, frame.select("doc_id", "text").collect()))
+    assert apart(quality_rules.cleaned(odd, 1)) == apart(quality_rules.without_common_lines(odd, 1))
+    assert sum(r.removed_words for r in quality_rules.quality_rules(docs, 1).collect()) == 6
+    monkeypatch.setattr(quality_rules, "without_places", lambda text, gone: text)
+    assert sum(r.removed_words for r in quality_rules.quality_rules(docs, 1).collect()) == 0
+
+
 def test_rules_empty(none):
     assert quality_rules.quality_rules(none).collect() == []
 

@@ -57,7 +57,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.cleaned(table(spark, sf_dir, "documents")).drop("text")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
